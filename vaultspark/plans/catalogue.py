@@ -1,15 +1,741 @@
-"""All registered queries of the engine's own operators, with the SQL that gives the same rows."""
+"""All registered queries of the engine's own operators, with the SQL that gives the same rows. Lists are joined into text, so results compare by value."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vaultspark.functions import text as X
+from vaultspark.operators import checks, cite, links, neardup, upserts, views
+from vaultspark.plans.model import AS_OF, Model, duck
+from vaultspark.schema import EDGE_TYPES
+from vaultspark.sources import pages as paged
+from vaultspark.sources import vault
+from vaultspark.sources.classify import classify, to_fetch
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Model], DataFrame]):
+        _queries[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def joined(c: Column | str) -> Column:
+    return F.array_join(c, "|")
+
+
+# SQL for the text functions, over an expression.
+_S = r"[\s\x1c-\x1f\x{85}\pZ]"
+
+
+def _norm(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^\pL\pN_\s\x1c-\x1f\x{{85}}\pZ]', ' ', 'g'), '{_S}+', ' ', 'g'))"
+
+
+def _kebab(x: str, n: int) -> str:
+    low = f"replace(replace(replace(lower({x}), 'α', 'alpha'), 'β', 'beta'), '→', 'to')"
+    return f"rtrim(substr(trim(regexp_replace({low}, '[^a-z0-9]+', '-', 'g'), '-'), 1, {n}), '-')"
+
+
+def _finding_slug(x: str) -> str:
+    k = _kebab(x, 55)
+    for w in ("the", "a", "an", "is", "are"):
+        k = f"regexp_replace({k}, '^{w}-', '')"
+    return f"substr('finding-' || {k}, 1, 60)"
+
+
+def _strip_html(x: str) -> str:
+    bare = f"regexp_replace(regexp_replace({x}, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({bare}, '<[^>]+>', ' ', 'g'), '{_S}+', ' ', 'g'))"
+
+
+def _compact(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '\[\s*\d+(?:\s*[-–,]\s*\d+)*\s*\]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+_BIB = r"(?i)(?:^|\n)\s*(?:\d+[.\s]+)?(?:references|bibliography)\s*\n"
+
+
+def _bib(x: str) -> str:
+    found = rf"regexp_extract({x}, '{_BIB}')"
+    return f"CASE WHEN {found} = '' THEN {x} ELSE substr({x}, strpos({x}, {found})) END"
+
+
+def _list(x: str) -> str:
+    return f"array_to_string({x}, '|')"
+
+
+# ---- scalar functions over texts ----
+
+
+@query(f"SELECT doc_id, {_kebab('text', 60)} AS slug FROM documents")
+def kebab_slug(m: Model) -> DataFrame:
+    return m.table("documents").select("doc_id", X.kebab(F.col("text")).alias("slug"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{AS_OF[:7]}' ELSE '20' || lpad(CAST(doc_id % 24 AS VARCHAR), 2, '0') || '-05' END || '-' || {_kebab('text', 40)} AS slug FROM documents""")
+def paper_slug(m: Model) -> DataFrame:
+    date = F.expr("if(doc_id % 3 = 0, 'undated', concat('20', lpad(doc_id % 24, 2, '0'), '-05-01'))")
+    return m.table("documents").select("doc_id", X.paper_slug(F.col("text"), date, AS_OF).alias("slug"))
+
+
+@query(f"SELECT doc_id, {_finding_slug('text')} AS slug FROM documents")
+def finding_slug(m: Model) -> DataFrame:
+    return m.table("documents").select("doc_id", X.finding_slug(F.col("text")).alias("slug"))
+
+
+@query(f"SELECT doc_id, {_norm('text')} AS normal FROM documents")
+def normalize_title(m: Model) -> DataFrame:
+    return m.table("documents").select("doc_id", X.normalize(F.col("text")).alias("normal"))
+
+
+@query(f"SELECT page_id, {_strip_html('html')} AS text FROM pages")
+def html_strip(m: Model) -> DataFrame:
+    return m.table("pages").select("page_id", X.html_strip(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, substr(t, 1, 6000) AS meta_text, CAST(length(t) AS BIGINT) AS n_chars FROM (SELECT page_id, {_compact(_strip_html('html'))} AS t FROM pages)")
+def html_meta_slice(m: Model) -> DataFrame:
+    s = paged.html_slices(F.col("html"))
+    return m.table("pages").select("page_id", s["meta_text"].alias("meta_text"), F.length(s["full_text"]).cast("long").alias("n_chars"))
+
+
+_NOISY = "text || ' [1]  x [2, ' || doc_id || ']' || chr(9) || 'y [3–5]' || chr(10) || chr(10) || chr(10) || 'z [a]'"
+
+
+@query(f"SELECT doc_id, {_compact(_NOISY)} AS text FROM documents")
+def compact_cites(m: Model) -> DataFrame:
+    noisy = F.expr("concat(text, ' [1]  x [2, ', doc_id, ']', chr(9), 'y [3–5]', chr(10), chr(10), chr(10), 'z [a]')")
+    return m.table("documents").select("doc_id", X.compact(noisy).alias("text"))
+
+
+_REFS = [
+    "' 2101.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0')", "'2101.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') || 'v2'",
+    "'see https://arXiv.org/pdf/1706.0' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || 'v5.pdf'", "'10.1234/x.' || doc_id", "'http://doi.org/10.55/y' || doc_id", "'https://example.org/' || doc_id", "'junk ' || doc_id",
+]
+
+
+@query(rf"""WITH r AS (SELECT doc_id, trim([{', '.join(_REFS)}][doc_id % 7 + 1]) AS s FROM documents),
+    p AS (SELECT doc_id, s, CASE WHEN regexp_matches(s, '^\d{{4}}\.\d{{4,5}}(v\d+)?$') THEN s ELSE nullif(regexp_extract(s, '(?i)arxiv\.org/(?:abs|pdf)/(\d{{4}}\.\d{{4,5}}(?:v\d+)?)', 1), '') END AS a,
+      CASE WHEN regexp_matches(s, '^10\.[^\s/]+/[^\s]+$') THEN s ELSE nullif(regexp_extract(s, '(?i)doi\.org/(10\.[^\s/]+/[^\s]+)', 1), '') END AS d FROM r)
+    SELECT doc_id, CASE WHEN a IS NOT NULL THEN 'arxiv' WHEN d IS NOT NULL THEN 'doi' WHEN regexp_matches(s, '^https?://') THEN 'url' ELSE 'error' END AS source_type,
+      CASE WHEN a IS NOT NULL THEN 'https://arxiv.org/abs/' || a WHEN d IS NOT NULL THEN 'https://doi.org/' || d WHEN regexp_matches(s, '^https?://') THEN s END AS source_url, a AS arxiv_id, CASE WHEN a IS NULL THEN d END AS doi FROM p""")
+def classify_source(m: Model) -> DataFrame:
+    refs = ", ".join(x.replace("CAST(doc_id % 100000 AS VARCHAR)", "doc_id % 100000").replace("CAST(doc_id % 10000 AS VARCHAR)", "doc_id % 10000") for x in _REFS)
+    d = m.table("documents").select("doc_id", F.expr(f"element_at(array({refs}), cast(doc_id % 7 as int) + 1)").alias("s"))
+    return d.select("doc_id", classify(F.col("s")).alias("c")).select("doc_id", "c.*")
+
+
+@query("SELECT page_id, sha256(url) AS sha FROM pages")
+def sha_key(m: Model) -> DataFrame:
+    return m.table("pages").select("page_id", X.sha_key(F.col("url")).alias("sha"))
+
+
+_LINKED = "'See [[p' || doc_id || ']] and [[q' || doc_id || '|alias]], [[r#part]], [[]] or [[p' || doc_id || ']]. ' || text"
+
+
+@query(rf"""SELECT doc_id, {_list("l")} AS targets, CAST(len(list_distinct(l)) AS BIGINT) AS n_distinct FROM (
+    SELECT doc_id, regexp_extract_all({_LINKED}, '\[\[([^\]|#]+?)(?:\|[^\]]+)?(?:#[^\]]+)?\]\]', 1) AS l FROM documents)""")
+def wikilink_extract(m: Model) -> DataFrame:
+    linked = F.expr("concat('See [[p', doc_id, ']] and [[q', doc_id, '|alias]], [[r#part]], [[]] or [[p', doc_id, ']]. ', text)")
+    l = m.table("documents").select("doc_id", X.links(linked).alias("l"))  # noqa: E741
+    return l.select("doc_id", joined("l").alias("targets"), F.size(F.array_distinct("l")).cast("long").alias("n_distinct"))
+
+
+@query("""WITH s AS (SELECT doc_id, [' [[Cust' || doc_id || '|x#y]] ', '[[a b#h]]', 'bare ' || doc_id, '[[x' || doc_id || ' ]]'][doc_id % 4 + 1] AS s FROM documents),
+    t AS (SELECT doc_id, trim(s) AS s FROM s)
+    SELECT doc_id, trim(split_part(split_part(CASE WHEN s LIKE '[[%' AND s LIKE '%]]' THEN substr(s, 3, length(s) - 4) ELSE s END, '|', 1), '#', 1)) AS bare,
+      CASE WHEN s LIKE '[[%' AND s LIKE '%]]' THEN s ELSE '[[' || s || ']]' END AS wrapped FROM t""")
+def wikilink_wrap(m: Model) -> DataFrame:
+    s = F.expr("element_at(array(concat(' [[Cust', doc_id, '|x#y]] '), '[[a b#h]]', concat('bare ', doc_id), concat('[[x', doc_id, ' ]]')), cast(doc_id % 4 as int) + 1)")
+    return m.table("documents").select("doc_id", X.unwrap_link(s).alias("bare"), X.wrap_link(s).alias("wrapped"))
+
+
+@query(duck("papers") + " SELECT slug, overall FROM papers")
+def overall_quality(m: Model) -> DataFrame:
+    return m.papers.select("slug", X.overall_quality(F.col("credibility"), F.col("rigor"), F.col("reproducibility")).alias("overall"))
+
+
+@query("""SELECT o_orderkey, regexp_matches(d, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS iso FROM (SELECT o_orderkey, [strftime(o_orderdate, '%Y-%m-%d'), '2024-99-99', strftime(o_orderdate, '%Y/%m/%d'), '2024-1-1'][o_orderkey % 4 + 1] AS d FROM orders)""")
+def iso_date_check(m: Model) -> DataFrame:
+    d = F.expr("element_at(array(date_format(o_orderdate, 'yyyy-MM-dd'), '2024-99-99', date_format(o_orderdate, 'yyyy/MM/dd'), '2024-1-1'), cast(o_orderkey % 4 as int) + 1)")
+    return m.table("orders").select("o_orderkey", X.is_iso(d).alias("iso"))
+
+
+@query(duck("cited") + f" SELECT doc_id, {_bib('text')} AS bib FROM cited")
+def bibliography_slice(m: Model) -> DataFrame:
+    return m.cited.select("doc_id", X.bibliography(F.col("text")).alias("bib"))
+
+
+@query(duck("cited") + rf""" SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?i)(?:arxiv[:\s]+|abs/|arxiv\.org/(?:abs|pdf)/)(\d{{4}}\.\d{{4,5}})(?:v\d+)?', 1), lambda x: lower(x)), '|') AS arxiv,
+    array_to_string(list_transform(regexp_extract_all(text, '(?i)\b(10\.\d{{4,}}/[^\s,;)]+)', 1), lambda x: lower(regexp_replace(x, '[.,;)]+$', ''))), '|') AS doi FROM cited""")
+def reference_ids(m: Model) -> DataFrame:
+    return m.cited.select("doc_id", joined(X.arxiv_refs(F.col("text"))).alias("arxiv"), joined(X.doi_refs(F.col("text"))).alias("doi"))
+
+
+@query(duck("papers") + " SELECT slug, 'https://arxiv.org/pdf/' || split_part(arxiv_id, 'v', 1) || '.pdf' AS url FROM papers WHERE arxiv_id IS NOT NULL")
+def arxiv_pdf_url(m: Model) -> DataFrame:
+    return m.papers.where("arxiv_id is not null").select("slug", X.pdf_url(F.col("arxiv_id")).alias("url"))
+
+
+@query(duck("papers") + " SELECT slug, lower(split_part(arxiv_id, 'v', 1)) AS arxiv, lower(doi) AS doi, lower(source_url) AS url FROM papers")
+def identity_keys(m: Model) -> DataFrame:
+    return m.papers.select("slug", X.identity(F.col("arxiv_id"), True).alias("arxiv"), X.identity(F.col("doi")).alias("doi"), X.identity(F.col("source_url")).alias("url"))
+
+
+@query("SELECT page_id, replace(url, '/', '-') AS file, replace('# {{NAME}} by {{WHO}}', '{{NAME}}', url) AS page FROM pages")
+def file_names(m: Model) -> DataFrame:
+    return m.table("pages").select("page_id", X.file_name(F.col("url")).alias("file"), X.render(F.lit("# {{NAME}} by {{WHO}}"), {"NAME": F.col("url")}).alias("page"))
+
+
+@query("SELECT event_id, array_to_string(list_filter(list_transform(string_split(' a, ,' || event_type || ' ,x' || user_id, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM events")
+def option_lists(m: Model) -> DataFrame:
+    return m.table("events").select("event_id", joined(X.split_list(F.expr("concat(' a, ,', event_type, ' ,x', user_id)"), ",")).alias("items"))
+
+
+@query(duck("papers") + " SELECT slug, 'obsidian://open?vault=v&file=papers/' || slug AS url FROM papers")
+def open_urls(m: Model) -> DataFrame:
+    return m.papers.select("slug", X.open_url(F.lit("v"), F.concat(F.lit("papers/"), F.col("slug"))).alias("url"))
+
+
+# ---- scans ----
+
+
+@query(duck("papers") + f" SELECT slug, title, {_list('authors')} AS authors, arxiv_id, doi, publication_date FROM papers")
+def papers_scan(m: Model) -> DataFrame:
+    return m.papers.select("slug", "title", joined("authors").alias("authors"), "arxiv_id", "doi", "publication_date")
+
+
+@query("SELECT DISTINCT p_type AS name, p_type || '.md' AS sort_key FROM part")
+def fields_scan(m: Model) -> DataFrame:
+    return m.table("part").select(F.col("p_type").alias("name")).distinct().withColumn("sort_key", X.file_sort_key(F.col("name"))).orderBy("sort_key")
+
+
+@query("SELECT c_name AS name, c_name || '.md' AS sort_key FROM customer")
+def authors_scan(m: Model) -> DataFrame:
+    return m.table("customer").select(F.col("c_name").alias("name")).withColumn("sort_key", X.file_sort_key(F.col("name"))).orderBy("sort_key")
+
+
+@query(duck("findings", "edges") + f""", r AS (SELECT src, {', '.join(f"array_to_string(list_sort(list(DISTINCT dst) FILTER (etype = '{t}')), '|') AS {t.replace('-', '_')}" for t in EDGE_TYPES)} FROM edges GROUP BY src)
+    SELECT slug, statement, source_paper, {', '.join(f"coalesce({t.replace('-', '_')}, '') AS {t.replace('-', '_')}" for t in EDGE_TYPES)} FROM findings LEFT JOIN r ON src = slug""")
+def findings_scan(m: Model) -> DataFrame:
+    sets = [joined(F.array_sort(F.collect_set(F.when(F.col("etype") == t, F.col("dst"))))).alias(t.replace("-", "_")) for t in EDGE_TYPES]
+    r = m.edges.groupBy(F.col("src").alias("slug")).agg(*sets)
+    out = m.findings.select("slug", "statement", "source_paper").join(r, "slug", "left")
+    return out.fillna("", [t.replace("-", "_") for t in EDGE_TYPES])
+
+
+@query("""WITH s AS (SELECT DISTINCT n_name AS slug, 0 AS k, 'paper' AS entity FROM nation UNION ALL SELECT DISTINCT r_name, 1, 'finding' FROM region
+    UNION ALL SELECT DISTINCT c_mktsegment, 2, 'author' FROM customer UNION ALL SELECT DISTINCT r_name, 3, 'field' FROM region)
+    SELECT slug, arg_max(entity, k) AS entity, slug || '.md' AS sort_key FROM s GROUP BY slug""")
+def all_slugs_index(m: Model) -> DataFrame:
+    region = m.table("region").select(F.col("r_name").alias("stem"))
+    return vault.slug_index({"papers": m.table("nation").select(F.col("n_name").alias("stem")), "findings": region, "authors": m.table("customer").select(F.col("c_mktsegment").alias("stem")), "fields": region})
+
+
+@query("""SELECT url AS source_url, page_id % 10 = 0 AS force, sha256(url) AS sha FROM pages WHERE page_id % 10 = 0 OR sha256(url) NOT IN (SELECT sha256(url) FROM pages WHERE page_id % 2 = 0)""")
+def cache_lookup(m: Model) -> DataFrame:
+    p = m.table("pages")
+    return to_fetch(p.select(F.col("url").alias("source_url"), (F.col("page_id") % 10 == 0).alias("force")), p.where("page_id % 2 = 0").select(X.sha_key(F.col("url")).alias("sha")))
+
+
+# ---- retrieval ----
+
+_FIELDS, _AUTHORS = ["ECONOMY", "STANDARD", "Brand#11", "Brand#22"], [f"Cust{k}, A." for k in range(1, 6)]
+
+
+def _top_fields(m: Model) -> tuple[list[str], list[str]]:
+    """Fields and authors of the paper that links are sought for: the smallest type and brand, and five authors."""
+    low = m.table("part").agg(F.min("p_type"), F.min("p_brand")).first()
+    return [low[0], low[1]], _AUTHORS
+
+
+@query(duck("papers", "findings") + f""", w AS (SELECT [min(p_type), min(p_brand)] AS fields, {_AUTHORS} AS authors FROM part),
+    s AS (SELECT f.slug, f.statement, f.fields, f.sort_key, len(list_intersect(f.fields, w.fields)) AS fo, coalesce(len(list_intersect(p.authors, w.authors)), 0) AS ao
+      FROM findings f CROSS JOIN w LEFT JOIN papers p ON p.slug = f.source_paper WHERE f.source_paper <> 'p1')
+    SELECT slug, statement, array_to_string(list_sort(list_distinct(fields)), '|') AS fields, CAST(fo AS INTEGER) AS field_overlap, CAST(ao AS INTEGER) AS author_overlap, CAST(2 * fo + ao AS INTEGER) AS score
+    FROM s WHERE fo > 0 OR ao > 0 ORDER BY 2 * fo + ao DESC, sort_key LIMIT 30""")
+def candidate_shortlist(m: Model) -> DataFrame:
+    fields, authors = _top_fields(m)
+    return links.candidates(m.findings, m.papers, fields, authors, exclude_paper="p1").withColumn("fields", joined("fields"))
+
+
+_TERMS = ["the", "and", "thing", "une", "und"]
+
+
+@query("SELECT key, n_terms FROM (SELECT doc_id AS key, CAST(" + " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in _TERMS) + " AS INTEGER) AS n_terms FROM documents) WHERE n_terms > 0 ORDER BY n_terms DESC, key LIMIT 50")
+def keyword_search(m: Model) -> DataFrame:
+    return views.keyword_search(m.table("documents").select(F.col("doc_id").alias("key"), "text"), _TERMS, 50)
+
+
+# ---- edges ----
+
+_PAYLOAD = duck("lines", "edges") + ", new AS (SELECT src, etype, dst FROM edges UNION ALL SELECT slug, 'uses', slug FROM lines UNION ALL SELECT slug, 'supports', 'nowhere' FROM lines UNION ALL SELECT 'unknown', 'uses', slug FROM lines)"
+_FORWARD = _PAYLOAD + ", fw AS (SELECT DISTINCT src, etype, dst FROM new WHERE src <> dst AND src IN (SELECT slug FROM lines))"
+
+
+def _new_edges(m: Model) -> DataFrame:
+    s = m.slugs
+    own = s.select(F.col("slug").alias("src"), F.lit("uses").alias("etype"), F.col("slug").alias("dst"))
+    nowhere = s.select(F.col("slug").alias("src"), F.lit("supports").alias("etype"), F.lit("nowhere").alias("dst"))
+    unknown = s.select(F.lit("unknown").alias("src"), F.lit("uses").alias("etype"), F.col("slug").alias("dst"))
+    return m.edges.unionByName(own).unionByName(nowhere).unionByName(unknown)
+
+
+@query(_FORWARD + " SELECT src, etype, dst FROM fw")
+def edge_insert(m: Model) -> DataFrame:
+    return links.forward(_new_edges(m), m.slugs).select("src", "etype", "dst")
+
+
+@query(_FORWARD + " SELECT DISTINCT dst AS src, etype, src AS dst FROM fw WHERE etype IN ('contradicts', 'similar-to') AND dst IN (SELECT slug FROM lines)")
+def edge_mirror(m: Model) -> DataFrame:
+    return links.mirrored(links.forward(_new_edges(m), m.slugs), m.slugs)
+
+
+_ROLLUP = duck("lines", "edges") + """, of AS (SELECT DISTINCT slug, source_paper FROM lines), up AS (SELECT DISTINCT a.source_paper AS src, CASE etype WHEN 'uses' THEN 'builds-on' ELSE etype END AS etype, b.source_paper AS dst
+    FROM edges JOIN of a ON a.slug = src JOIN of b ON b.slug = dst WHERE a.source_paper <> b.source_paper)"""
+
+
+@query(_ROLLUP + " SELECT src, etype, dst FROM up")
+def edge_rollup(m: Model) -> DataFrame:
+    return links.rollup(m.edges, m.slugs).select("src", "etype", "dst").distinct()
+
+
+@query(_ROLLUP + " SELECT DISTINCT dst AS src, etype, src AS dst FROM up WHERE etype IN ('contradicts', 'similar-to') AND dst IN (SELECT 'p' || o_orderkey FROM orders)")
+def paper_mirror(m: Model) -> DataFrame:
+    return links.paper_mirrored(links.rollup(m.edges, m.slugs), m.papers)
+
+
+@query(duck("lines", "edges") + f", had AS (SELECT DISTINCT src, etype, dst FROM edges WHERE etype <> 'extends') SELECT t.etype, count(e.etype) AS n FROM (VALUES {', '.join(f'({t!r})' for t in EDGE_TYPES)}) t(etype) LEFT JOIN (SELECT DISTINCT src, etype, dst FROM edges EXCEPT SELECT * FROM had) e ON e.etype = t.etype GROUP BY t.etype")
+def edge_counts(m: Model) -> DataFrame:
+    return links.edge_counts(links.forward(m.edges, m.slugs, m.edges.where("etype <> 'extends'")))
+
+
+@query(_ROLLUP + """ SELECT 'finding' AS level, src AS slug FROM (SELECT src FROM edges UNION SELECT dst FROM edges WHERE etype IN ('contradicts', 'similar-to'))
+    UNION SELECT 'paper', slug FROM (SELECT dst AS slug FROM up WHERE etype IN ('contradicts', 'similar-to') AND dst IN (SELECT 'p' || o_orderkey FROM orders) UNION SELECT 'p1')""")
+def touched_files(m: Model) -> DataFrame:
+    fw = links.forward(m.edges, m.slugs)
+    new = m.spark.createDataFrame([("p1",)], "slug string")
+    return links.touched(fw, links.mirrored(fw, m.slugs), links.paper_mirrored(links.rollup(m.edges, m.slugs), m.papers), new)
+
+
+@query(duck("lines", "edges") + """, f AS (SELECT DISTINCT src, etype, dst FROM edges UNION SELECT dst, etype, src FROM edges WHERE etype IN ('contradicts', 'similar-to'))
+    SELECT src, etype, array_to_string(list_sort(list(dst)), '|') AS targets FROM f GROUP BY src, etype""")
+def relations_union(m: Model) -> DataFrame:
+    e = links.forward(m.edges, m.slugs)
+    merged = links.merge_relations(links.relations(e), links.relations(links.mirrored(e, m.slugs)))
+    return merged.withColumn("targets", joined("targets"))
+
+
+@query(duck("papers") + """, c AS (SELECT slug AS src, 'p' || o_custkey AS dst FROM papers JOIN orders ON slug = 'p' || o_orderkey UNION SELECT slug, 'p' || (o_custkey % 50) FROM papers JOIN orders ON slug = 'p' || o_orderkey)
+    SELECT src, array_to_string(list_sort(list(dst)), '|') AS cites FROM c GROUP BY src""")
+def cites_merge(m: Model) -> DataFrame:
+    o = m.table("orders").select(F.concat(F.lit("p"), "o_orderkey").alias("src"), F.lit("cites").alias("etype"), "o_custkey")
+    old = links.relations(o.withColumn("dst", F.concat(F.lit("p"), "o_custkey")))
+    new = links.relations(o.withColumn("dst", F.concat(F.lit("p"), F.col("o_custkey") % 50)))
+    return links.merge_relations(old, new).select("src", joined("targets").alias("cites"))
+
+
+_CITES = duck("papers") + ", c AS (SELECT DISTINCT 'p' || o_orderkey AS src, 'p' || o_custkey AS dst FROM orders)"
+
+
+def _cites(m: Model) -> DataFrame:
+    return m.table("orders").select(F.concat(F.lit("p"), "o_orderkey").alias("src"), F.lit("cites").alias("etype"), F.concat(F.lit("p"), "o_custkey").alias("dst"))
+
+
+@query(_CITES + " SELECT dst AS slug, src AS cited_by FROM c WHERE src <> dst")
+def cited_by(m: Model) -> DataFrame:
+    return links.cited_by(_cites(m))
+
+
+@query(duck("lines", "edges") + " SELECT slug, neighbour FROM (SELECT src AS slug, dst AS neighbour FROM edges UNION SELECT dst, src FROM edges)")
+def one_hop(m: Model) -> DataFrame:
+    return links.one_hop(m.edges, m.slugs)
+
+
+@query(duck("lines", "edges") + """ SELECT dst AS slug, src AS finding, max(CASE WHEN etype = 'supports' THEN 'supports →' ELSE '' END) || max(CASE WHEN etype = 'contradicts' THEN 'contradicts ⚡' ELSE '' END)
+    || max(CASE WHEN etype = 'extends' THEN 'extends ↗' ELSE '' END) || max(CASE WHEN etype = 'uses' THEN 'uses 🔧' ELSE '' END) || max(CASE WHEN etype = 'similar-to' THEN 'similar to ≈' ELSE '' END) AS edge_type
+    FROM edges WHERE src <> dst GROUP BY dst, src""")
+def incoming_edges(m: Model) -> DataFrame:
+    return links.incoming(m.edges)
+
+
+@query(duck("lines", "edges") + """, p AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE etype = 'supports' AND src < dst), both_ AS (SELECT a AS src, b AS dst FROM p UNION SELECT b, a FROM p)
+    SELECT src, 'similar-to' AS etype, dst FROM both_ WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.etype = 'similar-to' AND e.src = both_.src AND e.dst = both_.dst)""")
+def similar_link_apply(m: Model) -> DataFrame:
+    pairs = m.edges.where("etype = 'supports' and src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return links.add_similar(pairs, m.slugs, m.edges)
+
+
+# ---- checks ----
+
+_DRIFT = duck("papers", "findings") + """ SELECT 'schema drift' AS "check", 'finding' AS entity, slug AS key, unnest(list_filter([
+      CASE WHEN finding_type NOT IN ('empirical', 'theoretical', 'definitional') THEN 'wrong value: finding-type' END, 'missing: source-ref',
+      'missing: relations.supports', 'missing: relations.contradicts', 'missing: relations.extends', 'missing: relations.uses', 'missing: relations.similar-to'], lambda x: x IS NOT NULL)) AS detail FROM findings
+    UNION ALL SELECT 'schema drift', 'author', c_name, 'wrong type' FROM customer WHERE c_custkey % 2 = 0"""
+
+
+def _drift(m: Model) -> DataFrame:
+    a = checks.schema_drift(m.findings, "finding")
+    authors = m.table("customer").select(F.col("c_name").alias("name"), F.expr("if(c_custkey % 2 = 0, 'person', 'author')").alias("type"))
+    return a.unionByName(checks.schema_drift(authors, "author", key="name"))
+
+
+@query(_DRIFT)
+def schema_drift(m: Model) -> DataFrame:
+    return _drift(m)
+
+
+_ORPHANS = duck("lines", "edges") + """, nodes AS (SELECT slug, 'finding' AS entity FROM lines UNION ALL SELECT DISTINCT p_type, 'field' FROM part UNION ALL SELECT r_name, 'field' FROM region),
+    l AS (SELECT src AS source, dst AS target FROM edges UNION ALL SELECT r_name, r_name FROM region WHERE r_regionkey = 0),
+    k AS (SELECT source, target FROM l WHERE target IN (SELECT slug FROM nodes)),
+    o AS (SELECT 'orphan' AS "check", entity, slug AS key, 'no links' AS detail FROM nodes WHERE slug NOT IN (SELECT target FROM k) AND slug NOT IN (SELECT source FROM k))"""
+
+
+def _orphans(m: Model) -> DataFrame:
+    field = F.lit("field").alias("entity")
+    nodes = m.slugs.select("slug", F.lit("finding").alias("entity")).union(m.table("part").select(F.col("p_type")).distinct().select("p_type", field)).union(m.table("region").select("r_name", field))
+    own = m.table("region").where("r_regionkey = 0").select(F.col("r_name").alias("source"), F.col("r_name").alias("target"))
+    return checks.orphans(nodes, m.edges.select(F.col("src").alias("source"), F.col("dst").alias("target")).unionByName(own))
+
+
+@query(_ORPHANS + " SELECT * FROM o")
+def orphans(m: Model) -> DataFrame:
+    return _orphans(m)
+
+
+_STALE = duck("papers") + """, l AS (SELECT 'p' || l_orderkey AS source, unnest(['p' || l_partkey, 'views/x', 'assets/y', '', 'p' || l_orderkey, 'gone-' || l_suppkey]) AS target FROM lineitem),
+    s AS (SELECT 'stale link' AS "check", 'link' AS entity, source AS key, target AS detail FROM l WHERE target <> '' AND target <> source AND target NOT LIKE 'views/%' AND target NOT LIKE 'assets/%' AND target NOT IN (SELECT slug FROM papers))"""
+
+
+def _stale(m: Model) -> DataFrame:
+    l = m.table("lineitem").select(  # noqa: E741
+        F.concat(F.lit("p"), "l_orderkey").alias("source"), F.explode(F.expr("array(concat('p', l_partkey), 'views/x', 'assets/y', '', concat('p', l_orderkey), concat('gone-', l_suppkey))")).alias("target")
+    )
+    return checks.stale_links(m.papers.select("slug"), l)
+
+
+@query(_STALE + " SELECT * FROM s")
+def stale_links(m: Model) -> DataFrame:
+    return _stale(m)
+
+
+_ASYMMETRIC = duck("lines", "edges") + """, a AS (SELECT 'asymmetric edge' AS "check", 'finding' AS entity, src AS key, etype || ' ' || dst AS detail FROM (
+    SELECT DISTINCT src, etype, dst FROM edges e WHERE etype IN ('contradicts', 'similar-to') AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.src = e.dst AND r.dst = e.src AND r.etype = e.etype)))"""
+
+
+@query(_ASYMMETRIC + " SELECT * FROM a")
+def asymmetric_edges(m: Model) -> DataFrame:
+    return checks.asymmetric_edges(m.slugs, m.edges)
+
+
+_DATES = duck("papers", "lines") + """, d AS (SELECT 'date sanity' AS "check", 'paper' AS entity, slug AS key, 'ingested before published' AS detail FROM papers WHERE ingested_date < publication_date
+    UNION ALL SELECT 'date sanity', 'finding', slug, 'extracted-date not ISO' FROM lines WHERE l_linenumber % 7 = 0)"""
+
+
+def _dates(m: Model) -> DataFrame:
+    f = m._lines.select("slug", F.expr("if(l_linenumber % 7 = 0, date_format(day, 'dd.MM.yyyy'), date_format(day, 'yyyy-MM-dd'))").alias("extracted_date"))
+    return checks.date_sanity(m.papers, f)
+
+
+@query(_DATES + " SELECT * FROM d")
+def date_sanity(m: Model) -> DataFrame:
+    return _dates(m)
+
+
+def _parts(sql: str) -> str:
+    return sql.removeprefix("WITH ")
+
+
+@query(f"""SELECT 'orphan' AS "check", (SELECT count(*) FROM ({_ORPHANS} SELECT * FROM o)) AS n UNION ALL SELECT 'stale link', (SELECT count(*) FROM ({_STALE} SELECT * FROM s))
+    UNION ALL SELECT 'schema drift', (SELECT count(*) FROM ({_DRIFT})) UNION ALL SELECT 'duplicate finding', 0
+    UNION ALL SELECT 'asymmetric edge', (SELECT count(*) FROM ({_ASYMMETRIC} SELECT * FROM a)) UNION ALL SELECT 'date sanity', (SELECT count(*) FROM ({_DATES} SELECT * FROM d))""")
+def lint_report(m: Model) -> DataFrame:
+    every = _drift(m).unionByName(_orphans(m)).unionByName(_stale(m)).unionByName(checks.asymmetric_edges(m.slugs, m.edges)).unionByName(_dates(m))
+    return checks.report(every, ["schema drift", "orphan", "duplicate finding", "asymmetric edge", "stale link", "date sanity"])
+
+
+# ---- views ----
+
+
+@query(duck("papers") + f" SELECT slug, publication_date, ingested_date, {_list('authors')} AS authors, overall, ingest_mode FROM papers")
+def all_papers(m: Model) -> DataFrame:
+    return views.all_papers(m.papers).withColumn("authors", joined("authors"))
+
+
+@query("SELECT 'paper' AS type, count(*) AS n FROM orders UNION ALL SELECT 'finding', count(*) FROM lineitem UNION ALL SELECT 'author', count(*) FROM customer UNION ALL SELECT 'field', count(DISTINCT p_type) FROM part")
+def stats_by_type(m: Model) -> DataFrame:
+    typed = lambda df, t: df.select(F.lit(t).alias("type"))
+    return views.stats_by_type([m.papers, typed(m.table("lineitem"), "finding"), typed(m.table("customer"), "author"), typed(m.table("part").select("p_type").distinct(), "field")])
+
+
+@query(duck("papers") + f" SELECT slug, publication_date, ingested_date, {_list('authors')} AS authors, {_list('fields')} AS fields, overall FROM papers ORDER BY ingested_date DESC, slug LIMIT 20")
+def recent_papers(m: Model) -> DataFrame:
+    return views.recent_papers(m.papers).withColumns({"authors": joined("authors"), "fields": joined("fields")})
+
+
+def _grouped_sql(by: str, exploded: bool) -> str:
+    key = f"unnest({by})" if exploded else _list(by)
+    return duck("papers") + f""", x AS (SELECT {key} AS key, slug, publication_date, ingested_date, overall FROM papers)
+        SELECT key, count(*) AS n, max(ingested_date) AS latest, string_agg(slug, '|' ORDER BY slug) AS papers, string_agg(publication_date, '|' ORDER BY slug) AS published, round(sum(overall), 1) AS overall FROM x GROUP BY key"""
+
+
+def _grouped(m: Model, by: str, exploded: bool) -> DataFrame:
+    g = views.grouped(m.papers, by, exploded)
+    if not exploded:
+        g = g.withColumn("key", joined("key"))
+    return g.select("key", "n", "latest", joined("papers").alias("papers"), joined("published").alias("published"), F.round(F.aggregate("overall", F.lit(0.0), lambda a, x: a + x), 1).alias("overall"))
+
+
+@query(_grouped_sql("fields", False))
+def by_field_literal(m: Model) -> DataFrame:
+    return _grouped(m, "fields", False)
+
+
+@query(_grouped_sql("fields", True))
+def by_field_exploded(m: Model) -> DataFrame:
+    return _grouped(m, "fields", True)
+
+
+@query(_grouped_sql("authors", False))
+def by_author_literal(m: Model) -> DataFrame:
+    return _grouped(m, "authors", False)
+
+
+@query(_grouped_sql("authors", True))
+def by_author_exploded(m: Model) -> DataFrame:
+    return _grouped(m, "authors", True)
+
+
+@query(duck("findings", "edges") + """, c AS (SELECT src, array_to_string(list_sort(list(DISTINCT dst)), '|') AS contradicts FROM edges WHERE etype = 'contradicts' GROUP BY src)
+    SELECT slug, source_paper, statement, contradicts FROM findings JOIN c ON src = slug""")
+def contradicting_findings(m: Model) -> DataFrame:
+    return views.contradicting(m.findings, m.edges, ["source_paper", "statement"]).withColumn("contradicts", joined("contradicts"))
+
+
+@query(_ROLLUP + " SELECT src AS slug, array_to_string(list_sort(list(dst)), '|') AS contradicts FROM up WHERE etype = 'contradicts' AND src IN (SELECT 'p' || o_orderkey FROM orders) GROUP BY src")
+def contradicting_papers(m: Model) -> DataFrame:
+    return views.contradicting(m.papers, links.rollup(m.edges, m.slugs).select("src", "etype", "dst"), []).withColumn("contradicts", joined("contradicts"))
+
+
+@query(duck("papers") + f" SELECT slug, publication_date, {_list('authors')} AS authors, credibility, rigor AS experimental_rigor, reproducibility, overall FROM papers WHERE overall >= 4.0")
+def high_credibility(m: Model) -> DataFrame:
+    return views.high_credibility(m.papers).withColumn("authors", joined("authors"))
+
+
+@query(duck("papers") + " SELECT name, slug, publication_date, venue, credibility FROM (SELECT unnest(list_distinct(authors)) AS name, slug, publication_date, venue, credibility FROM papers)")
+def author_papers(m: Model) -> DataFrame:
+    return views.papers_of(m.papers, "authors")
+
+
+@query(duck("papers") + " SELECT 'status-F' AS name, slug, publication_date, venue, credibility FROM papers WHERE list_contains(fields, 'status-F')")
+def field_papers(m: Model) -> DataFrame:
+    return views.papers_of(m.papers, "fields", "status-F")
+
+
+@query(duck("findings") + " SELECT unnest(list_distinct(fields)) AS name, slug, source_paper, hedging, finding_type, extracted_date FROM findings")
+def field_findings(m: Model) -> DataFrame:
+    return views.findings_of_field(m.findings)
+
+
+@query(duck("lines", "edges") + " SELECT dst AS target, count(DISTINCT src) AS n_inlinks FROM edges GROUP BY dst")
+def inlink_counts(m: Model) -> DataFrame:
+    return links.inlinks(m.edges.select(F.col("src").alias("source"), F.col("dst").alias("target")))
+
+
+@query("""SELECT path, CASE WHEN contains(path, 'fields/') THEN 'fields' WHEN contains(path, 'authors/') THEN 'authors' WHEN contains(path, 'findings/') THEN 'findings' WHEN contains(path, 'papers/') THEN 'papers' ELSE 'other' END AS "group"
+    FROM (SELECT ['papers/', 'findings/', 'authors/', 'fields/', 'views/', ''][event_id % 6 + 1] || event_type || event_id AS path FROM events) WHERE NOT contains(path, 'views') AND NOT contains(path, 'index')""")
+def graph_display(m: Model) -> DataFrame:
+    folder = F.expr("element_at(array('papers/', 'findings/', 'authors/', 'fields/', 'views/', ''), cast(event_id % 6 as int) + 1)")
+    return views.graph_nodes(m.table("events").select(F.concat(folder, "event_type", F.col("event_id").cast("string")).alias("path")))
+
+
+# ---- entity resolution ----
+
+
+@query(duck("papers") + """, r AS (SELECT page_id AS req_id, 'HTTPS://example.org/o/' || (page_id * 3) || ' ' AS url, lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || '.' || lpad(CAST(page_id % 100000 AS VARCHAR), 5, '0') AS a, '10.1234/ORDER.' || (page_id * 2) AS d FROM pages),
+    h AS (SELECT req_id, slug, sort_key FROM r JOIN papers ON lower(source_url) = lower(trim(url)) UNION ALL SELECT req_id, slug, sort_key FROM r JOIN papers ON split_part(arxiv_id, 'v', 1) = a UNION ALL SELECT req_id, slug, sort_key FROM r JOIN papers ON lower(doi) = lower(d))
+    SELECT req_id, arg_min(slug, sort_key) AS slug FROM h GROUP BY req_id""")
+def existing_paper_match(m: Model) -> DataFrame:
+    r = m.table("pages").select(
+        F.col("page_id").alias("req_id"), F.expr("concat('HTTPS://example.org/o/', page_id * 3, ' ')").alias("source_url"),
+        F.expr("concat(lpad(page_id % 10000, 4, '0'), '.', lpad(page_id % 100000, 5, '0'), 'v9')").alias("arxiv_id"), F.expr("concat('10.1234/ORDER.', page_id * 2)").alias("doi"),
+    )
+    return cite.existing_papers(r, m.papers)
+
+
+_PROBE = duck("papers", "cited") + f", b AS (SELECT doc_id, {_bib('text')} AS bib FROM cited), n AS (SELECT doc_id, bib, {_norm('bib')} AS bn FROM b)"
+_ARXIV = _PROBE + r""", ra AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(bib, '(?i)(?:arxiv[:\s]+|abs/|arxiv\.org/(?:abs|pdf)/)(\d{4}\.\d{4,5})(?:v\d+)?', 1))) AS k FROM n),
+    pa AS (SELECT lower(arxiv_id) AS k, arg_max(slug, sort_key) AS slug FROM papers WHERE arxiv_id IS NOT NULL GROUP BY 1), ca AS (SELECT DISTINCT doc_id, slug FROM ra JOIN pa USING (k))"""
+_DOI = r""", rd AS (SELECT DISTINCT doc_id, lower(regexp_replace(unnest(regexp_extract_all(bib, '(?i)\b(10\.\d{4,}/[^\s,;)]+)', 1)), '[.,;)]+$', '')) AS k FROM n),
+    pd AS (SELECT lower(doi) AS k, arg_max(slug, sort_key) AS slug FROM papers WHERE doi IS NOT NULL GROUP BY 1), cd AS (SELECT DISTINCT doc_id, slug FROM rd JOIN pd USING (k))"""
+_TITLE = f", pt AS (SELECT slug, {_norm('title')} AS t FROM papers), ct AS (SELECT doc_id, slug FROM n JOIN pt ON length(t) >= 20 AND contains(bn, t))"
+_SURNAME = r""", ps AS (SELECT lower(trim(split_part(authors[1], ',', 1))) AS surname, substr(publication_date, 1, 4) AS y, arg_max(slug, sort_key) AS slug FROM papers GROUP BY 1, 2),
+    xs AS MATERIALIZED (SELECT doc_id, slug, surname, y, bn FROM n JOIN ps ON contains(bn, y) AND contains(bn, surname)),
+    cs AS (SELECT doc_id, slug FROM xs WHERE regexp_matches(bn, surname || '.{0,' || CAST(76 - length(surname) AS VARCHAR) || '}' || y))"""
+
+
+@query(_ARXIV + " SELECT doc_id, slug FROM ca")
+def cite_by_arxiv(m: Model) -> DataFrame:
+    return cite.by_arxiv(cite.probes(m.cited), m.papers)
+
+
+@query(_PROBE + _DOI + " SELECT doc_id, slug FROM cd")
+def cite_by_doi(m: Model) -> DataFrame:
+    return cite.by_doi(cite.probes(m.cited), m.papers)
+
+
+@query(_PROBE + _TITLE + " SELECT doc_id, slug FROM ct")
+def cite_by_title(m: Model) -> DataFrame:
+    return cite.by_title(cite.probes(m.cited), m.papers)
+
+
+@query(_PROBE + _SURNAME + " SELECT doc_id, slug FROM cs")
+def cite_by_author_year(m: Model) -> DataFrame:
+    return cite.by_surname_year(cite.probes(m.cited), m.papers)
+
+
+@query(_ARXIV + _DOI + _TITLE + _SURNAME + """ SELECT doc_id, slug, arg_min(rule, k) AS rule FROM (SELECT *, 0 AS k, 'arxiv' AS rule FROM ca UNION ALL SELECT *, 1, 'doi' FROM cd UNION ALL SELECT *, 2, 'title' FROM ct UNION ALL SELECT *, 3, 'surname and year' FROM cs) GROUP BY doc_id, slug""")
+def cite_cascade(m: Model) -> DataFrame:
+    return cite.cascade(m.cited, m.papers, fuzzy=False)
+
+
+@query()
+def cite_fuzzy_title(m: Model) -> DataFrame:
+    bench = m.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("slug"), F.col("text").alias("title"))
+    short = m.table("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), X.normalize(F.col("text")).alias("bib_norm"))
+    return cite.by_fuzzy_title(short, bench)
+
+
+# ---- inserts ----
+
+
+@query("""SELECT DISTINCT c_mktsegment || '/' || n_name AS name, replace(c_mktsegment || '/' || n_name, '/', '-') AS file, NOT (n_regionkey = 1) AS created FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def stub_upsert(m: Model) -> DataFrame:
+    n = m.table("customer").join(m.table("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat("c_mktsegment", F.lit("/"), "n_name").alias("name"), "n_regionkey")
+    return upserts.stubs(n, n.where("n_regionkey = 1").select(X.file_name(F.col("name")).alias("file")))
+
+
+@query(duck("papers") + """, old AS (SELECT * FROM papers WHERE substr(publication_date, 6, 2) <= '06') SELECT slug, title, overall FROM old
+    UNION ALL SELECT slug, 'new ' || title, overall FROM papers WHERE slug NOT IN (SELECT slug FROM old)""")
+def paper_insert(m: Model) -> DataFrame:
+    p = m.papers.select("slug", "title", "overall", "publication_date")
+    old = p.where("substring(publication_date, 6, 2) <= '06'").select("slug", "title", "overall")
+    return upserts.insert_missing(old, p.withColumn("title", F.concat(F.lit("new "), "title")), "slug")
+
+
+@query(f"""WITH b AS (SELECT doc_id AS pos, {_finding_slug('text')} AS base FROM documents), k AS (SELECT pos, base, row_number() OVER (PARTITION BY base ORDER BY pos) AS k FROM b)
+    SELECT pos, CASE WHEN k = 1 THEN base ELSE substr(base, 1, 56) || '-' || least(k, 99) END AS slug FROM k""")
+def finding_insert(m: Model) -> DataFrame:
+    return upserts.finding_slugs(m.table("documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("statement"))).select("pos", "slug")
+
+
+@query("""SELECT ts, action, target, note FROM (SELECT strftime(ts, '%Y-%m-%d %H:%M') AS ts, event_type AS action, 'user ' || user_id AS target, 'a | b ' || event_id AS note FROM events)""")
+def log_append(m: Model) -> DataFrame:
+    line = upserts.log_line(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.col("event_type"), F.expr("concat('user ', user_id)"), F.expr("concat('a | b ', event_id)"))
+    return upserts.parse_log(m.table("events").select(line.alias("value")))
+
+
+# ---- paged documents ----
+
+
+def _paged(m: Model) -> DataFrame:
+    """Documents as pages, one a line; the first word of a page is its heading, the outline has an entry a page."""
+    d = m.table("documents").select("doc_id", F.expr("transform(filter(split(text, '\\n'), x -> trim(x) <> ''), (x, k) -> if(k = 4, 'References\\n', if(k % 3 = 2, concat('Method: ', x), x)))").alias("l"))
+    return d.select(
+        "doc_id",
+        F.expr(
+            "transform(l, (x, k) -> named_struct('page_no', k, 'text', x, 'lines', array(named_struct('y', 1.0D, 'spans', array(named_struct('size', 14.0D, 'text', substring_index(x, ' ', 1)))), named_struct('y', 2.0D, 'spans', array(named_struct('size', 10.0D, 'text', x))))))"
+        ).alias("pages"),
+        F.expr("transform(l, (x, k) -> named_struct('level', k % 2 + 1, 'title', if(k % 2 = 1, 'A Summary', 'Other'), 'page', k + 1))").alias("toc"),
+    )
+
+
+_PAGED = """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+    c AS (SELECT doc_id, l, CASE WHEN len(l) > 4 THEN 4 ELSE len(l) END AS cutoff FROM l)"""
+
+
+@query(_PAGED + " SELECT doc_id, CAST(cutoff AS INTEGER) AS cutoff, CAST(len(l) AS INTEGER) AS page_count FROM c")
+def ref_cutoff(m: Model) -> DataFrame:
+    return _paged(m).select("doc_id", paged.reference_cutoff(F.col("pages")).alias("cutoff"), F.size("pages").alias("page_count"))
+
+
+@query()
+def page_slices(m: Model) -> DataFrame:
+    s = paged.with_slices(_paged(m))
+    return s.select("doc_id", "cutoff", joined(F.transform("brief_pages", lambda x: x.cast("string"))).alias("brief_pages"), joined(F.transform("findings_pages", lambda x: x.cast("string"))).alias("findings_pages"), F.length("brief_text").alias("brief_chars"), F.length("meta_text").alias("meta_chars"))
+
+
+@query(_PAGED + """, s AS (SELECT doc_id, cutoff, unnest(generate_series(1, CAST(cutoff AS BIGINT) - 1, 2)) AS k, len(l) AS n FROM c),
+    r AS (SELECT doc_id, unnest(generate_series(k, least(cutoff, CASE WHEN k + 1 < n THEN k + 2 ELSE cutoff END) - 1)) AS page FROM s)
+    SELECT doc_id, string_agg(DISTINCT CAST(page AS VARCHAR), '|' ORDER BY CAST(page AS VARCHAR)) AS toc_pages FROM r GROUP BY doc_id""")
+def toc_slice(m: Model) -> DataFrame:
+    p = _paged(m).withColumn("cutoff", paged.reference_cutoff(F.col("pages")))
+    t = p.select("doc_id", paged.toc_pages(F.col("toc"), paged.BRIEF_CUES, F.col("cutoff")).alias("t")).where(F.size("t") > 0)
+    return t.select("doc_id", joined(F.array_sort(F.transform("t", lambda x: x.cast("string")))).alias("toc_pages"))
+
+
+# ---- near-duplicate statements ----
+
+
+def _statements(m: Model) -> DataFrame:
+    d = m.table("documents")
+    return d.select(F.format_string("d%012d", "doc_id").alias("slug"), F.substring(X.normalize(F.col("text")), 1, 160).alias("stmt"), (F.col("doc_id") % 5 == 0).alias("is_new"), F.format_string("d%012d.md", "doc_id").alias("sort_key"))
+
+
+_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@query(f"""WITH s AS (SELECT doc_id, substr({_norm('text')}, 1, 160) AS t FROM documents),
+    r AS (SELECT doc_id, t, length(t) AS l, [{', '.join(f"length(t) - length(replace(t, '{c}', ''))" for c in _CHARS)}, length(translate(t, '{_CHARS}', ''))] AS bag FROM s WHERE t <> ''),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, 2.0::DOUBLE * list_sum(list_transform(list_zip(a.bag, b.bag), lambda x: least(x[1], x[2]))) / (a.l + b.l) AS bound FROM r a JOIN r b ON a.doc_id <> b.doc_id AND a.doc_id % 5 = 0 AND least(a.l, b.l) >= (0.92::DOUBLE / 1.08) * greatest(a.l, b.l))
+    SELECT a, b, round(bound, 6) AS bound FROM p WHERE bound >= 0.92""")
+def neardup_bag_bound(m: Model) -> DataFrame:
+    p = neardup.bag_pairs(_statements(m))
+    return p.select(F.substring("a", 2, 12).cast("long").alias("a"), F.substring("b", 2, 12).cast("long").alias("b"), F.round("bound", 6).alias("bound"))
+
+
+@query()
+def neardup_pairs(m: Model) -> DataFrame:
+    return neardup.similar_pairs(_statements(m)).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@query()
+def neardup_clusters(m: Model) -> DataFrame:
+    s = _statements(m)
+    return neardup.star_clusters(s, neardup.similar_pairs(s))
+
+
+@query()
+def neardup_links(m: Model) -> DataFrame:
+    s = _statements(m)
+    return neardup.cluster_links(neardup.star_clusters(s, neardup.similar_pairs(s)))
+
+
+# ---- validators ----
+
+
+@query(duck("findings", "edges") + """, x AS (SELECT DISTINCT src, etype, dst FROM edges), of AS (SELECT DISTINCT slug, source_paper FROM lines)
+    SELECT src, 'too many edges' AS problem, CAST(count(*) AS VARCHAR) AS detail FROM x GROUP BY src HAVING count(*) > 5
+    UNION ALL SELECT src, 'not a candidate', dst FROM x WHERE dst NOT IN (SELECT slug FROM lines WHERE l_linenumber <> 3)
+    UNION ALL SELECT src, 'same paper', dst FROM x JOIN of a ON a.slug = src JOIN of b ON b.slug = dst WHERE a.source_paper = b.source_paper""")
+def validate_edges(m: Model) -> DataFrame:
+    proposed = m.edges.select("src", "etype", "dst").distinct().withColumn("why", F.lit("short"))
+    return links.validate_edges(proposed, m._lines.where("l_linenumber <> 3").select("slug").distinct(), m.slugs.distinct())
