@@ -92,13 +92,15 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     seen = ids.agg(F.min("id"), F.max("n"), F.max("id")).first()
     after = next_ids(ids.select("id"), (seen[2] or 0) - (seen[0] or 0))
     after = cut(after.select(F.col("id").alias("doc_id"), F.coalesce("next", F.lit(seen[0]).cast("long")).alias("next_id")), "next-ids")
-    marked = with_fingerprint(base, "text", "fingerprint")
-    nexts = marked if (seen[1] or 0) <= 1 else with_fingerprint(base.groupBy("doc_id").agg(F.min("text").alias("text")), "text", "fingerprint")
-    wants = base.select("doc_id", F.expr("cast(floor(length(text) / 2) as int)").alias("want")).groupBy("doc_id").agg(F.max("want").alias("want")).join(after, "doc_id")
-    heads = nexts.join(wants.select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "want"), "doc_id").select(
-        F.col("before").alias("doc_id"), F.expr("substring(text, 1, want)").alias("head"), F.col("fingerprint").alias("next_fingerprint")
+    # Both joins read the same rows dealt out by id, so the texts are shuffled once; fingerprints are cheaper to make again than to move.
+    known = base.where("doc_id is not null")
+    nexts = known if (seen[1] or 0) <= 1 else known.groupBy("doc_id").agg(F.min("text").alias("text"))
+    wants = known.select("doc_id", F.expr("cast(floor(length(text) / 2) as int)").alias("want")).groupBy("doc_id").agg(F.max("want").alias("want")).join(after, "doc_id")
+    heads = with_fingerprint(nexts.join(wants.select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "want"), "doc_id"), "text", "next_fingerprint").select(
+        F.col("before").alias("doc_id"), F.expr("substring(text, 1, want)").alias("head"), "next_fingerprint"
     )
-    joined = marked.join(heads, "doc_id", "left")
+    alone = base.where("doc_id is null").withColumns({"head": F.lit(None).cast("string"), "next_fingerprint": F.lit(None).cast("array<int>")})
+    joined = with_fingerprint(known.join(heads, "doc_id").unionByName(alone), "text", "fingerprint")
     half = "cast(floor(length(text) / 2) as int)"
     edited = joined.withColumn("edited", F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(coalesce(head, ''), 1, {half}))"))
     out = with_fingerprint(edited, "edited", "edited_fingerprint")
