@@ -642,7 +642,7 @@ def paper_insert(m: Model) -> DataFrame:
 
 
 @query(f"""WITH b AS (SELECT doc_id AS pos, {_finding_slug('text')} AS base FROM documents), k AS (SELECT pos, base, row_number() OVER (PARTITION BY base ORDER BY pos) AS k FROM b)
-    SELECT pos, CASE WHEN k = 1 THEN base ELSE substr(base, 1, 56) || '-' || least(k, 99) END AS slug FROM k""")
+    SELECT pos, CASE WHEN k = 1 THEN base ELSE substr(base, 1, 56) || '-' || least(99, 1 + row_number() OVER (PARTITION BY substr(base, 1, 56), k = 1 ORDER BY pos)) END AS slug FROM k""")
 def finding_insert(m: Model) -> DataFrame:
     return upserts.finding_slugs(m.table("documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("statement"))).select("pos", "slug")
 
