@@ -11,9 +11,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     out, matcher, last = [], difflib.SequenceMatcher(None), None
     for x, y in zip(a, b, strict=True):
@@ -28,7 +29,7 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def window_ratio(title: pd.Series, text: pd.Series) -> pd.Series:
     """Best ratio of a title with a window of its length and ten more, moved by half its length; stops at 0.9."""
     out = []

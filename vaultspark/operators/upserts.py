@@ -53,21 +53,25 @@ def disambiguate(bases: list[str], taken: set[str]) -> list[str]:
     return out
 
 
+def _family(slug: str) -> Column:
+    """What all slugs that can meet have in common: the first 56 characters without the numbers at their end."""
+    return F.regexp_replace(F.substring(slug, 1, BASE_CHARS), "(-[0-9]{0,2})+$", "")
+
+
 def finding_slugs(batch: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """batch (pos, statement, ...) with unique slugs in order of pos. Slugs can only meet if they share their first 56 characters, so each such group is one replay."""
-    df = batch.withColumn("base", finding_slug(F.col("statement"))).withColumn("_stem", F.substring("base", 1, BASE_CHARS))
+    """batch (pos, statement, ...) with unique slugs in order of pos. Slugs only meet inside a family, so each family with more than one is a replay of its own."""
+    df = batch.withColumn("base", finding_slug(F.col("statement"))).withColumn("_stem", _family("base"))
     had = existing.select(F.col("slug").alias("base")) if existing is not None else batch.sparkSession.createDataFrame([], "base string")
-    # A disambiguated slug's stem is its base's; one that exists may belong to the stem of its own first 56 characters or to that before its number.
-    stems = had.select("base", F.explode(F.array_distinct(F.array(F.substring("base", 1, BASE_CHARS), F.regexp_replace("base", "-[0-9]{1,2}$", "")))).alias("_stem"))
-    stems = stems.select(F.col("base"), F.substring("_stem", 1, BASE_CHARS).alias("_stem"))
+    stems = had.withColumn("_stem", _family("base"))
     schema = T.StructType([*df.schema.fields, T.StructField("slug", T.StringType())])
 
     def replay(key, rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
         rows["slug"] = disambiguate(rows["base"].tolist(), set(old["base"]))
-        return rows
+        text = [f.name for f in schema if f.dataType == T.StringType()]
+        return rows.astype(dict.fromkeys(text, object))
 
-    # Only groups that can collide are replayed; a base that is alone and new is its own slug.
+    # A base that is alone and new is its own slug.
     clash = df.groupBy("_stem").count().where("count > 1").select("_stem").union(stems.select("_stem")).distinct()
     alone = df.join(clash, "_stem", "left_anti").withColumn("slug", F.col("base"))
     many = df.join(clash, "_stem", "left_semi").select(df.columns).groupBy("_stem").cogroup(stems.groupBy("_stem")).applyInPandas(replay, schema)

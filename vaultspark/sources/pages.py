@@ -122,5 +122,5 @@ def is_pdf(content: Column) -> Column:
 
 def html_source(files: DataFrame) -> DataFrame:
     """Binary files (path, content) that are not PDF, decoded with replacement, as (path, slices)."""
-    html = F.decode("content", "UTF-8")
+    html = F.make_valid_utf8(F.col("content").cast("string"))
     return files.where(~is_pdf(F.col("content"))).select("path", *[c.alias(n) for n, c in html_slices(html).items()])

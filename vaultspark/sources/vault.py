@@ -59,6 +59,13 @@ def scan(spark: SparkSession, vault: str, folder: str) -> DataFrame:
     return files.mapInPandas(_read, RAW)
 
 
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The type with text for numbers, as the front matter's scalars are kept."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind])
+    return kind if isinstance(kind, T.ArrayType) else T.StringType()
+
+
 def _typed(raw: DataFrame, ddl: str) -> DataFrame:
     """Front matter as typed columns; hyphens in keys become underscores; links in lists are unwrapped."""
     want = T._parse_datatype_string(ddl)
@@ -66,7 +73,7 @@ def _typed(raw: DataFrame, ddl: str) -> DataFrame:
     hyphen = F.regexp_replace("front", r'"([a-z]+(?:-[a-z]+)*)"\s*:', '"$1":')
     for name in ("publication-date", "ingested-date", "source-url", "arxiv-id", "ingest-mode", "experimental-rigor", "builds-on", "similar-to", "source-paper", "source-ref", "extracted-date", "finding-type", "parent-field"):
         hyphen = F.replace(hyphen, F.lit(f'"{name}":'), F.lit(f'"{name.replace("-", "_")}":'))
-    inner = T.StructType([f for f in want if f.name not in made])
+    inner = _as_text(T.StructType([f for f in want if f.name not in made]))
     df = raw.withColumn("_fm", F.from_json(hyphen, inner)).withColumn("raw_keys", F.from_json("front", "map<string,string>"))
     cols = []
     for f in want:
@@ -82,7 +89,7 @@ def _typed(raw: DataFrame, ddl: str) -> DataFrame:
             clean = lambda c: F.transform(F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.expr("cast(array() as array<string>)")), unwrap_link)
             cols.append(F.struct(*[clean(F.col(f"_fm.relations.{x.name}")).alias(x.name) for x in f.dataType]).alias("relations"))
         else:
-            cols.append(F.col(f"_fm.{f.name}").alias(f.name))
+            cols.append(F.col(f"_fm.{f.name}").cast(f.dataType).alias(f.name))
     return df.select(*cols)
 
 
