@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .latin import SAFE, splitter
 
 CACHE, CHUNK = 400_000, 4_000_000
 
@@ -80,6 +81,7 @@ class Codec:
         self.ids = self.hash.ids.tolist()
         self.rank = {t: r for r, t in enumerate(tokens)}
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.split_latin = splitter(pattern)
         self.cache: dict[str, np.ndarray] = {}
 
     def lookup(self, piece: bytes) -> int:
@@ -127,7 +129,7 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         pieces, ends = [], []
         for t in texts:
-            pieces += self.split(t)
+            pieces += self.split_latin(t) if SAFE.fullmatch(t) else self.split(t)
             ends.append(len(pieces))
         if not pieces:
             return [np.zeros(0, np.uint32) for _ in texts]
