@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: At most so many labelled documents are gathered to fit the classifier: a bound on the driver's memory, not on what is scored.
+#: About so many labelled documents at most are gathered to fit the classifier: a bound on the driver's memory, not on what is scored.
 TRAIN_ROWS = 20_000
 RIDGE, ROUNDS, THRESHOLD, SITE_WEIGHT = 1e-3, 25, 0.5, 0.5
 FEATURES = ["symbols", "capitals", "marks", "digits", "dup_lines", "stutter", "distinct", "log_words", "word_len", "distinct_by_length", "dup_lines_any"]
@@ -80,11 +80,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(marked: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Fit on at most `rows` of the labelled documents, those of the smallest hashes of their ids."""
+    """Fit on about `rows` of the labelled documents, or all if there are fewer: those whose ids' hashes fall into the share that `rows` is of all labels."""
+    given = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
+    n = given.count()
+    if n > rows:
+        given = given.where(F.expr(f"pmod(xxhash64(_id), {1 << 30}) < {(rows << 30) // n}"))
     sample = (
-        labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
-        .join(marked.withColumn("_id", F.col(f"`{id_col}`")).select("_id", *[f"f_{f}" for f in FEATURES]), "_id")
-        .orderBy(F.xxhash64("_id"), "_id").limit(rows)
+        given.join(marked.select(F.col(f"`{id_col}`").alias("_id"), *[f"f_{f}" for f in FEATURES]), "_id")
         .select("_y", *[f"f_{f}" for f in FEATURES]).toPandas()
     )
     return fit(sample[[f"f_{f}" for f in FEATURES]].to_numpy(float), sample["_y"].to_numpy(float))
