@@ -87,7 +87,8 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text ends after the first half, near_next is 0. Where rows repeat an id, each comes back, and the id's smallest text is its text
     for the document before. Other columns are not read. An empty table gives an empty result.
     """
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    plain = id_col == "doc_id" and docs.schema["doc_id"].dataType.simpleString() == "bigint"  # an alias would make the two readings differ
+    base = docs.select(F.col("doc_id") if plain else F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     ids = base.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
     seen = ids.agg(F.min("id"), F.max("n"), F.max("id")).first()
     after = next_ids(ids.select("id"), (seen[2] or 0) - (seen[0] or 0))
