@@ -111,7 +111,9 @@ def rules() -> list[dict]:
 
 
 def _creative(kind: str) -> str:
-    return "creative commons " + " ".join({"by": "attribution", "sa": "share ?alike", "nd": "no ?derivatives", "nc": "non ?commercial"}[x].replace(" ?", "") for x in kind.split())
+    """The long name of a licence by its letters."""
+    parts = {"by": "attribution", "sa": "(?:sharealike|share alike)", "nd": "(?:noderivatives|no derivatives|noderivs)", "nc": "(?:noncommercial|non commercial)"}
+    return "creative commons " + " ".join(parts[x] for x in kind.split())
 
 
 _RULE_DDL = "array<struct<no:int,label:string,keyword:string,regex:string,priority:int,confidence:double,base:boolean>>"
