@@ -129,7 +129,8 @@ def test_queries_with_sql(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in oracle_sql().items():
         got = queries()[name](spark, sf_dir)
         want = con.execute(sql)
