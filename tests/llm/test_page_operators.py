@@ -96,6 +96,7 @@ ARTICLES = {
     "<article><p>text, here<aside>no</aside><div class='cookie-notice'>no</div><form>f<input></form></article>": "text, here",
     "<p>1 < 2 and <b>3 > 2</p>": "1 < 2 and 3 > 2",
     "<article><p>a&nbsp;&nbsp;b\n c</p></article>": "a b c",
+    "<div class='site-header'><p>Site, name, here, and, much, more, of, it.</p></div><div id='main'><h1>T</h1><div class='part'><p>" + "word, " * 60 + "</p></div><div><p>end.</p></div><ins class='adsbygoogle'>buy</ins></div><div class='reader-responses'><p>I, too.</p></div>": "T " + ("word, " * 60).strip() + " end.",
     "<article><!-- x --><p hidden>no</p><p style='display: none'>no</p><p>yes</article>": "yes",
 }
 

@@ -43,9 +43,10 @@ _FURNITURE = frozenset("head nav footer aside form fieldset button select option
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Parts of class names and ids that mark furniture, wherever they stand.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promos?|promotion\w*|banner|cookies?|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar\w*|side|widget\w*|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|repl(?:y|ies)|footer|masthead|toolbar|login|search\w*|skip|toc|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsby\w*|sponsor\w*|promos?|promoted|promotion\w*|banner|cookies?|consent|gdpr|notices?|notification\w*|disclaimer|copyright|legal|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar\w*|side|widget\w*|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|responses?|discussion|feedback|repl(?:y|ies)|footer|topbar|masthead|toolbar|login|search\w*|skip|toc|hidden)(?:$|[\s_-])",
     re.I,
 )
+_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _LINKS_ONLY, _LEAST_LINKS, _SIBLING_SHARE = 0.8, 3, 0.2
 
 
@@ -72,8 +73,10 @@ def _furniture(tag: str, attributes: str, parent: Node) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    names = html.unescape(f"{found.get('class', '')} {found.get('id', '')}")
-    return bool(_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)))
+    names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", html.unescape(f"{found.get('class', '')} {found.get('id', '')}"))
+    if _HEADER.search(names) and not (_within(parent, "article") or _within(parent, "main")):
+        return True
+    return bool(_NAMES.search(names))
 
 
 def _within(node: Node | None, tag: str) -> bool:
@@ -233,7 +236,9 @@ def main_text(page: str | None) -> str:
         limit = _SIBLING_SHARE * value(best)
         for s in top.parent.parts:
             if isinstance(s, Node) and s is not top and not s.drop and s.size:
-                reads = s.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and top.tag != "article" and _density(s) < 0.25
+                # Beside the main container of a body stands anything; inside a closer parent, more of the same text.
+                like = s.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") or top.parent.tag not in ("body", "html", "")
+                reads = like and top.tag != "article" and _density(s) < 0.25
                 if reads or value(s) >= limit and (top.tag != "article" or s.tag == "article"):
                     chosen.append(s)
     wanted = {id(c) for c in chosen}
