@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import text as X
 from vaultspark.operators import checks, cite, links, neardup, upserts, views
+from vaultspark.plans import ingest
 from vaultspark.plans.model import AS_OF, Model, duck
 from vaultspark.schema import EDGE_TYPES
 from vaultspark.sources import pages as paged
-from vaultspark.sources import vault
+from vaultspark.sources import payloads, vault
 from vaultspark.sources.classify import classify, to_fetch
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,7 +259,7 @@ def cache_lookup(m: Model) -> DataFrame:
 
 # ---- retrieval ----
 
-_FIELDS, _AUTHORS = ["ECONOMY", "STANDARD", "Brand#11", "Brand#22"], [f"Cust{k}, A." for k in range(1, 6)]
+_AUTHORS = [f"Cust{k}, A." for k in range(1, 6)]
 
 
 def _top_fields(m: Model) -> tuple[list[str], list[str]]:
@@ -309,7 +310,7 @@ def edge_mirror(m: Model) -> DataFrame:
     return links.mirrored(links.forward(_new_edges(m), m.slugs), m.slugs)
 
 
-_ROLLUP = duck("lines", "edges") + """, of AS (SELECT DISTINCT slug, source_paper FROM lines), up AS (SELECT DISTINCT a.source_paper AS src, CASE etype WHEN 'uses' THEN 'builds-on' ELSE etype END AS etype, b.source_paper AS dst
+_ROLLUP = duck("lines", "edges") + """, of AS MATERIALIZED (SELECT DISTINCT slug, source_paper FROM lines), up AS MATERIALIZED (SELECT DISTINCT a.source_paper AS src, CASE etype WHEN 'uses' THEN 'builds-on' ELSE etype END AS etype, b.source_paper AS dst
     FROM edges JOIN of a ON a.slug = src JOIN of b ON b.slug = dst WHERE a.source_paper <> b.source_paper)"""
 
 
@@ -460,10 +461,6 @@ def date_sanity(m: Model) -> DataFrame:
     return _dates(m)
 
 
-def _parts(sql: str) -> str:
-    return sql.removeprefix("WITH ")
-
-
 @query(f"""SELECT 'orphan' AS "check", (SELECT count(*) FROM ({_ORPHANS} SELECT * FROM o)) AS n UNION ALL SELECT 'stale link', (SELECT count(*) FROM ({_STALE} SELECT * FROM s))
     UNION ALL SELECT 'schema drift', (SELECT count(*) FROM ({_DRIFT})) UNION ALL SELECT 'duplicate finding', 0
     UNION ALL SELECT 'asymmetric edge', (SELECT count(*) FROM ({_ASYMMETRIC} SELECT * FROM a)) UNION ALL SELECT 'date sanity', (SELECT count(*) FROM ({_DATES} SELECT * FROM d))""")
@@ -653,6 +650,36 @@ def log_append(m: Model) -> DataFrame:
     return upserts.parse_log(m.table("events").select(line.alias("value")))
 
 
+@query("""SELECT created, count(*) AS n FROM (SELECT DISTINCT c_mktsegment, n_name, n_regionkey <> 1 AS created FROM customer JOIN nation ON n_nationkey = c_nationkey) GROUP BY created""")
+def stub_tallies(m: Model) -> DataFrame:
+    n = m.table("customer").join(m.table("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat("c_mktsegment", F.lit("/"), "n_name").alias("name"), "n_regionkey")
+    return upserts.stubs(n, n.where("n_regionkey = 1").select(X.file_name(F.col("name")).alias("file"))).groupBy("created").agg(F.count("*").alias("n"))
+
+
+@query(duck("lines") + " SELECT source_paper AS slug, array_to_string(list_sort(list(DISTINCT slug)), '|') AS findings FROM lines GROUP BY source_paper")
+def paper_findings(m: Model) -> DataFrame:
+    return ingest.paper_findings(m.slugs).withColumn("findings", joined("findings"))
+
+
+@query(duck("findings") + " SELECT extracted_date >= '1997-01-01' AS is_new, count(*) AS n, count(DISTINCT slug) AS n_slugs FROM findings GROUP BY 1")
+def new_scope(m: Model) -> DataFrame:
+    return neardup.scope(m.findings, since="1997-01-01").groupBy("is_new").agg(F.count("*").alias("n"), F.countDistinct("slug").alias("n_slugs"))
+
+
+@query(duck("papers") + ", o AS (SELECT slug, title, [authors[1]] AS authors, doi FROM papers) SELECT CAST(to_json(o) AS VARCHAR) AS value FROM o")
+def json_results(m: Model) -> DataFrame:
+    return payloads.to_json(m.papers.select("slug", "title", F.slice("authors", 1, 1).alias("authors"), "doi"))
+
+
+@query(duck("lines", "edges") + """, had AS (SELECT DISTINCT src, etype, dst FROM edges WHERE etype = 'uses'), f AS (SELECT DISTINCT src, etype, dst FROM edges),
+    b AS (SELECT dst, etype, src FROM f WHERE etype IN ('contradicts', 'similar-to')) SELECT src, etype, dst FROM (SELECT * FROM had UNION SELECT * FROM f UNION SELECT * FROM b)""")
+def edge_apply(m: Model) -> DataFrame:
+    had = m.edges.where("etype = 'uses'").distinct()
+    none = m.spark.createDataFrame([], "src string, etype string, dst string")
+    cites = m.spark.createDataFrame([("p2",)], "slug string")
+    return ingest.apply_edges(m.edges, cites, "p1", m.slugs, m.papers, had, none).finding_edges
+
+
 # ---- paged documents ----
 
 
@@ -677,6 +704,16 @@ def ref_cutoff(m: Model) -> DataFrame:
     return _paged(m).select("doc_id", paged.reference_cutoff(F.col("pages")).alias("cutoff"), F.size("pages").alias("page_count"))
 
 
+@query(_PAGED + """, p AS (SELECT doc_id, cutoff, unnest(l) AS x, unnest(range(len(l))) AS k FROM c),
+    q AS (SELECT doc_id, cutoff, k, length(CASE WHEN k = 4 THEN 'References' || chr(10) WHEN k % 3 = 2 THEN 'Method: ' || x ELSE x END) AS n,
+      CASE WHEN k = 4 THEN 'References' || chr(10) WHEN k % 3 = 2 THEN 'Method:' ELSE split_part(x, ' ', 1) END AS h FROM p),
+    b AS (SELECT doc_id, CASE WHEN sum(n) FILTER (k < cutoff + 2) > sum(length(h)) FILTER (k < cutoff + 2) THEN 10.0 ELSE 14.0 END AS body_size FROM q GROUP BY doc_id)
+    SELECT doc_id, CAST(body_size AS DOUBLE) AS body_size, count(*) FILTER (k < cutoff AND body_size = 10.0 AND trim(h) <> '' AND length(trim(h)) <= 120) AS n_headings FROM q JOIN b USING (doc_id) GROUP BY doc_id, body_size""")
+def font_headings(m: Model) -> DataFrame:
+    p = _paged(m).where(F.size("pages") > 0).withColumn("cutoff", paged.reference_cutoff(F.col("pages")))
+    return p.select("doc_id", paged.body_size(F.col("pages"), F.col("cutoff")).alias("body_size"), F.size(paged.headings(F.col("pages"), F.col("cutoff"))).cast("long").alias("n_headings"))
+
+
 @query()
 def page_slices(m: Model) -> DataFrame:
     s = paged.with_slices(_paged(m))

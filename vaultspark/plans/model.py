@@ -115,7 +115,7 @@ DUCK = {
         strftime(day, '%Y-%m-%d') AS extracted_date, ['empirical', 'theoretical', 'definitional', 'anecdotal'][l_linenumber % 4 + 1] AS finding_type,
         ['asserted', 'hedged', 'speculative'][l_suppkey % 3 + 1] AS hedging, 'finding' AS type, slug || '.md' AS sort_key
       FROM lines JOIN part ON p_partkey = l_partkey)""",
-    "edges": f"""edges AS (SELECT b.slug AS src, [{_KINDS}][(a.l_linenumber + b.l_linenumber) % 5 + 1] AS etype, a.slug AS dst
+    "edges": f"""edges AS MATERIALIZED (SELECT b.slug AS src, [{_KINDS}][(a.l_linenumber + b.l_linenumber) % 5 + 1] AS etype, a.slug AS dst
       FROM lines a JOIN lines b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey AND b.day >= a.day AND b.day <= a.day + {NEAR_DAYS})""",
     "cited": """cited AS (SELECT doc_id, text || chr(10) || 'References' || chr(10) || '[1] arXiv: ' || lpad(CAST(doc_id * 7 % 10000 AS VARCHAR), 4, '0') || '.' || lpad(CAST(doc_id * 7 % 100000 AS VARCHAR), 5, '0')
         || 'v1; doi 10.1234/order.' || (doc_id * 5) || ').' ||
