@@ -310,8 +310,8 @@ def edge_mirror(m: Model) -> DataFrame:
     return links.mirrored(links.forward(_new_edges(m), m.slugs), m.slugs)
 
 
-_ROLLUP = duck("lines", "edges") + """, of AS MATERIALIZED (SELECT DISTINCT slug, source_paper FROM lines), up AS MATERIALIZED (SELECT DISTINCT a.source_paper AS src, CASE etype WHEN 'uses' THEN 'builds-on' ELSE etype END AS etype, b.source_paper AS dst
-    FROM edges JOIN of a ON a.slug = src JOIN of b ON b.slug = dst WHERE a.source_paper <> b.source_paper)"""
+_ROLLUP = duck("lines", "edges") + """, of AS MATERIALIZED (SELECT DISTINCT slug, source_paper FROM lines), half AS MATERIALIZED (SELECT source_paper AS sp, etype, dst FROM edges JOIN of ON slug = src),
+    up AS MATERIALIZED (SELECT DISTINCT sp AS src, CASE etype WHEN 'uses' THEN 'builds-on' ELSE etype END AS etype, source_paper AS dst FROM half JOIN of ON slug = dst WHERE sp <> source_paper)"""
 
 
 @query(_ROLLUP + " SELECT src, etype, dst FROM up")
