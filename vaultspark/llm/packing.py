@@ -161,6 +161,8 @@ def pack_documents(
                 yield rows.batch()
         rows.add(packer.finish())
         yield rows.batch()
+        tokenizer.forget()
+        pa.default_memory_pool().release_unused()
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, _Rows.NAMES)

@@ -2,8 +2,8 @@
 
 The tokenizer lower-cases, splits into words and encodes each word on its own, its last token marked as a word's end. So a text's
 ids are those of its words in a row. Words are split here by the file's own pattern, dictionary-encoded, and the new ones given to
-the tokenizer as one text, whose ids fall into words at the end marks. Texts with characters outside SAFE, where the normaliser or
-the pattern might follow other Unicode tables than Python's, go through the tokenizer whole.
+the tokenizer as one text, whose ids fall into words at the end marks. Other than SAFE texts, where the normaliser or the pattern might
+follow other Unicode tables than Python's, go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from tokenizers import Tokenizer
 
+from .latin import SAFE, splitter
+
 CACHE, CHUNK = 300_000, 4_000_000
-SAFE = regex.compile("[\t\n\r -~¡-¬®-įı-ž‐-‧€]*")
 _END = "</w>"
 
 
@@ -33,10 +33,16 @@ class WordTokenizer:
         for token, i in vocab.items():
             self.ends[i] = token.endswith(_END)
         split = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.split = regex.compile(split["pattern"]["Regex"]).findall
+        self.split = splitter(split["pattern"]["Regex"])
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and spec["model"]["end_of_word_suffix"] == _END and split["invert"] and split["behavior"] == "Removed"
-        self.cache: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the known words; at a task's end, so that an idle worker holds little."""
+        self.known: dict[str, int] = {}  # word -> its place in start and size
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -45,9 +51,19 @@ class WordTokenizer:
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
             ids = self._whole(" ".join(some))
-            last = np.flatnonzero(self.ends[ids]) + 1
-            parts = np.split(ids, last[:-1]) if len(last) == len(some) else [self._whole(w) for w in some]
-            self.cache.update(zip(some, parts, strict=True))
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(some):
+                raise ValueError("the tokenizer doesn't mark the ends of words as the pattern finds them")
+            k, n = len(self.known), len(some)
+            while k + n > len(self.start):
+                self.start, self.size = np.append(self.start, self.start), np.append(self.size, self.size)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.append(self.flat, self.flat)
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.start[k : k + n] = self.used + np.append(0, end[:-1])
+            self.size[k : k + n] = np.diff(end, prepend=0)
+            self.used += len(ids)
+            self.known.update(zip(some, range(k, k + n), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -59,23 +75,25 @@ class WordTokenizer:
             words += self.split(unicodedata.normalize("NFC", t).lower())
             ends.append(len(words))
             who.append(k)
-        if not words:
-            return [np.zeros(0, np.uint32) if x is None else x for x in out]
+        if not who:
+            return out
         coded = pa.array(words, pa.large_string()).dictionary_encode()
         del words
         distinct = coded.dictionary.to_pylist()
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        self._learn([w for w in distinct if w not in self.cache])
-        known = [self.cache[w] for w in distinct]
-        size = np.array([len(x) for x in known])
-        flat, start = np.concatenate(known), np.cumsum(size) - size
-        index, at = coded.indices.to_numpy(), 0
+        if len(self.known) > CACHE:
+            self.forget()
+        self._learn([w for w in distinct if w not in self.known])
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        size = self.size[place]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.start[place] - (upto - size), size)]
+        upto = np.append(0, upto)
+        lo = 0
         for k, to in zip(who, ends, strict=True):
-            own = index[at:to]
-            n = size[own]
-            out[k] = flat[np.arange(int(n.sum())) + np.repeat(start[own] - (np.cumsum(n) - n), n)]
-            at = to
+            hi = int(upto[to])
+            out[k] = ids[lo:hi]
+            lo = hi
         return out
 
 
