@@ -81,3 +81,11 @@ def test_cache(spark):
     r = spark.createDataFrame([("u", False), ("v", False), ("u", True)], "source_url string, force boolean")
     cache = spark.createDataFrame([("u",)], "u string").select(X.sha_key(F.col("u")).alias("sha"))
     assert sorted((x.source_url, x.force) for x in to_fetch(r, cache).collect()) == [("u", True), ("v", False)]
+
+
+def test_functions_in_sql(spark):
+    from vaultspark.functions.registry import register
+
+    register(spark)
+    row = spark.sql("SELECT kebab('Attention Is: All', 60) AS k, normalize_text('O(n²) — É') AS n, unwrap_link(' [[a|b]] ') AS u, seq_ratio('tide', 'diet') AS r").first()
+    assert (row.k, row.n, row.u, row.r) == ("attention-is-all", "o n² é", "a", 0.25)
