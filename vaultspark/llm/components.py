@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60
     seen = None
     for _ in range(max_rounds):
         both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(e.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        # Written, so that both sides of the join come straight from a shuffle: then a node with very many edges is split over tasks.
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")), tag)
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("u"), F.least("a", "m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -30,6 +31,7 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60
             .distinct()
         )
         after = cut(small, tag)
+        drop_cut(low)
         drop_cut(e)
         e = after
         now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
