@@ -2,48 +2,56 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own one where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + os.path.join(tempfile.gettempdir(), "vaultspark-shared")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, whatever their module path; once per application."""
+    """Give executors this package through the shared folder, whatever their module path; once per application."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    to = os.path.join(tempfile.mkdtemp(), f"vaultspark_{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(to, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for d, _, names in os.walk(top):
             for n in names:
                 if n.endswith(".py"):
                     full = os.path.join(d, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    to = f"{new_path(spark, 'package')}.zip"
+    fs, at = pafs.FileSystem.from_uri(to)
+    fs.create_dir(os.path.dirname(at), recursive=True)
+    with fs.open_output_stream(at) as out:
+        out.write(packed.getvalue())
     sc.addPyFile(to)
     _shipped.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "vaultspark-shared")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/vaultspark/{tag}-{uuid.uuid4().hex[:12]}"
 
@@ -53,15 +61,27 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     to = new_path(spark, tag)
     df.write.parquet(to)
+    _written.append(to)
     out = spark.read.schema(df.schema).parquet(to)
     out._cut_path = to
     return out
 
 
+def written() -> list[str]:
+    """Paths that cut() has written and nobody has removed, in order."""
+    return list(_written)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for to in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if to in _written:
+            _written.remove(to)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove what cut() wrote for df. Only for tables that no result still reads."""
     to = getattr(df, "_cut_path", None)
     if to:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, [to])
