@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import new_path, table
+from vaultspark.llm.common import new_path, remove, table, written
 from vaultspark.llm.ngram_join import ngram_jaccard_classes
 from vaultspark.llm.packing import pack_documents
 from vaultspark.llm.quality_model import quality_classes
@@ -43,9 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's documents are written and read again; then what the stage wrote on its way, and its input, if a stage made it, go."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
+        before = set(written())
         to = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(to)
-        docs = spark.read.parquet(to)
+        remove(spark, [*(p for p in written() if p not in before), *last])
+        docs, last = spark.read.parquet(to), [to]
     return docs
