@@ -3,8 +3,8 @@
 An example is a vector: its tokens, one segment, its loss-bearing tokens. A sequence has a limit on each. The open sequence takes, of
 the waiting examples that fit, the one whose demand has the largest dot product with what the sequence has left, both as shares of
 the limits; so scarce capacity draws the examples that use it. When none fits, the one with the largest product is cut to fill it.
-Each task packs its own rows with a bounded pool, so nothing is shuffled. What is left at a task's end fills a last sequence that is
-split into sequences whose lengths are powers of two; these need no padding.
+Each task packs its own rows with a bounded pool, so nothing is shuffled. A sequence that ends early, by the other limits or at a task's
+end, is split into sequences whose lengths are powers of two; these need no padding.
 """
 
 from __future__ import annotations
@@ -29,30 +29,29 @@ class Packer:
 
     def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, pool: int = POOL):
         self.limit = np.array([tokens, segments, loss or tokens], float)
-        self.pool = pool
         self.need = np.zeros((pool, 3))  # rows of waiting examples; a free row has no tokens
         self.start = np.zeros(pool, np.int64)
         self.mask: list[np.ndarray | None] = [None] * pool
         self.tag: list = [None] * pool
         self.free = list(range(pool))
         self.sequence, self.used, self.left = 0, 0, self.limit.copy()
+        self.open: list[tuple] = []  # pieces (tag, start, length, offset) of the open sequence
 
-    def _put(self, tag, start: int, mask: np.ndarray) -> None:
+    def _put(self, tag, mask: np.ndarray) -> None:
         k = self.free.pop()
-        self.tag[k], self.start[k], self.mask[k] = tag, start, mask
+        self.tag[k], self.start[k], self.mask[k] = tag, 0, mask
         self.need[k] = len(mask), 1, np.count_nonzero(mask)
 
-    def _cut(self, mask: np.ndarray) -> int:
+    def _fitting(self, mask: np.ndarray) -> int:
         """How many of the first tokens fit into what is left."""
-        n = min(len(mask), int(self.left[0]))
         if self.left[1] < 1:
             return 0
-        bearing = np.cumsum(mask[:n])
+        bearing = np.cumsum(mask[: int(self.left[0])])
         return int(np.searchsorted(bearing, self.left[2], side="right"))
 
-    def _take(self, k: int, n: int) -> tuple:
+    def _take(self, k: int, n: int) -> None:
         mask = self.mask[k]
-        piece = (self.tag[k], int(self.start[k]), n, self.sequence, self.used)
+        self.open.append((self.tag[k], int(self.start[k]), n, self.used))
         self.used += n
         self.left -= (n, 1, np.count_nonzero(mask[:n]))
         if n < len(mask):
@@ -63,56 +62,53 @@ class Packer:
             self.need[k] = 0
             self.tag[k] = self.mask[k] = None
             self.free.append(k)
-        return piece
 
-    def _close(self) -> None:
-        if self.used:
-            self.sequence, self.used, self.left = self.sequence + 1, 0, self.limit.copy()
+    def _close(self) -> Iterator[tuple]:
+        """The open sequence's pieces; one that isn't full becomes sequences whose lengths are powers of two, largest first."""
+        lo = 0
+        while lo < self.used:
+            rest = self.used - lo
+            size = rest if rest == self.limit[0] else 1 << (rest.bit_length() - 1)
+            for tag, start, n, offset in self.open:
+                a, b = max(offset, lo), min(offset + n, lo + size)
+                if a < b:
+                    yield tag, start + a - offset, b - a, self.sequence, a - lo
+            self.sequence += 1
+            lo += size
+        self.used, self.left, self.open = 0, self.limit.copy(), []
 
     def _place(self) -> Iterator[tuple]:
-        """Place one example or fill and close the open sequence."""
+        """Place one example, or fill the open sequence with a part of one; yields what that completes."""
         waiting = self.need[:, 0] > 0
         score = (self.need / self.limit) @ (self.left / self.limit)
         fits = waiting & (self.need <= self.left).all(axis=1)
         if fits.any():
             k = int(np.argmax(np.where(fits, score, -1)))
-            yield self._take(k, len(self.mask[k]))
+            self._take(k, len(self.mask[k]))
+            full = self.left[0] < 1
         else:
             k = int(np.argmax(np.where(waiting, score, -1)))
-            if n := self._cut(self.mask[k]):
-                yield self._take(k, n)
+            n = self._fitting(self.mask[k])
+            if n:
+                self._take(k, n)
             elif not self.used:
                 raise ValueError("a token does not fit an empty sequence")
-            self._close()
-        if self.left[0] < 1:
-            self._close()
+            full = True
+        if full:
+            yield from self._close()
 
     def add(self, tag, mask: np.ndarray) -> Iterator[tuple]:
         """mask: for each token whether it bears loss. Tags without tokens are placed nowhere."""
         if len(mask):
             while not self.free:
                 yield from self._place()
-            self._put(tag, 0, mask)
+            self._put(tag, mask)
 
     def finish(self) -> Iterator[tuple]:
-        """Place what waits; the last sequence is split at powers of two, largest first."""
-        last: list[tuple] = []
+        """Place what waits and close the last sequence."""
         while (self.need[:, 0] > 0).any():
-            at = self.sequence
-            for piece in self._place():
-                last.append(piece)
-            if self.sequence != at:
-                yield from last
-                last = []
-        total, lo = sum(p[2] for p in last), 0
-        while total > lo:
-            size = 1 << ((total - lo).bit_length() - 1)
-            for tag, start, n, _, offset in last:
-                a, b = max(offset, lo), min(offset + n, lo + size)
-                if a < b:
-                    yield tag, start + a - offset, b - a, self.sequence, a - lo
-            self.sequence += 1
-            lo += size
+            yield from self._place()
+        yield from self._close()
 
 
 class _Rows:
@@ -141,8 +137,8 @@ def pack_documents(
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     A document's ids are its text's by the tokenizer file at path, without special tokens, then `end`. Each id lies in one piece.
-    A sequence holds at most `tokens` ids, `segments` pieces and `loss` loss-bearing ids (all but a document's first); only sequences
-    whose lengths are powers of two, at a task's end, are shorter than `tokens`, unless `segments` ends one early.
+    A sequence holds at most `tokens` ids, `segments` pieces and `loss` loss-bearing ids (all but a document's first); one that is
+    shorter than `tokens`, where the other limits or a task's rows end it, has a power of two as its length.
     A null or empty text has the end id only. A null id stays null; repeated rows are packed as often as they occur. Sequence ids
     depend on how the table is split into tasks, not on the run: a task that is run again gives the same rows. An empty table gives no rows.
     """
@@ -154,7 +150,7 @@ def pack_documents(
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 for doc_id, own in zip(ids[lo:hi], tokenizer.encode_batch(texts[lo:hi]), strict=True):
-                    own = np.append(own, np.uint32(end)).astype(np.uint32)
+                    own = np.append(own, np.uint32(end))
                     mask = np.ones(len(own), bool)
                     mask[0] = False
                     rows.add(packer.add((doc_id, own, mask), mask))
