@@ -23,7 +23,7 @@ from . import shingles as S
 from .common import cut, drop_cut, ship
 from .components import connected_components
 
-THRESHOLD, N, RECALL, ROWS, BLOCK = 0.8, 5, 0.9999, 7, 512
+THRESHOLD, N, RECALL, ROWS, BLOCK = 0.8, 5, 0.9999, 7, 128
 
 
 def _signatures(n: int, bands: int, rows: int):
@@ -177,6 +177,7 @@ def ngram_jaccard_classes(
         .sortWithinPartitions("comp", "gi", "gj")
     )
     found = cut(placed.mapInArrow(_verify(n, threshold), "doc_id long, n_links long, root long").where("n_links > 0"), "ngram-links")
+    drop_cut(comps)
     counts = found.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
     classes = connected_components(found.select(F.col("doc_id").alias("u"), F.col("root").alias("v")), "ngram-class")
     by_text = (
