@@ -42,6 +42,8 @@ def test_surname_rule(spark):
     p = papers(spark, ("a", "t", ["Smith, J."], None, None, "2017-01-01", None), ("h", "t", ["O'Neil-Ray, J."], None, None, "2017-01-01", None), ("far", "t", ["Jones, K."], None, None, "2018", None))
     text = "smithson et al 2017. O'Neil-Ray 2017. jones " + "x " * 40 + "2018"
     assert found(cite.by_surname_year(cite.probes(docs(spark, text)), p)) == [(0, "a")]
+    li = papers(spark, ("li", "t", ["Li, K."], None, None, "2019-01-01", None))
+    assert found(cite.by_surname_year(cite.probes(docs(spark, "li 2019", "believe 120195", "li 2018")), li)) == [(0, "li"), (1, "li")]
 
 
 def test_cascade(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.schema import REPRODUCIBILITY, WEIGHTS
 
+#: Character classes, the forms of links, references, headings and dates.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NOT_WORD_OR_SPACE = r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
 LINK = r"\[\[([^\]|#]+?)(?:\|[^\]]+)?(?:#[^\]]+)?\]\]"
