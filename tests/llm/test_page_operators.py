@@ -162,6 +162,14 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None and public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_stages_pass_on_clashing_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "'x' as kept", "'y' as accepted", "7 as n_words", "'z' as _kept", "0 as class_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert [tuple(r) for r in out.select("kept", "accepted", "n_words", "_kept", "class_id").distinct().collect()] == [("x", "y", 7, "z", 0)]
+
+
 def test_near_duplicate_stage_of_repeated_rows(spark):
     rows = [(1, "same words in here today", "en", "s", 1), (1, "same words in here today", "en", "s", 1), (2, "same words in here today", "en", "s", 1), (None, "quite another text is this", "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

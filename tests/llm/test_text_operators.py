@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vaultspark.llm import shingles
@@ -44,7 +45,9 @@ def odd(spark):
     """Nulls, empty and long texts, repeated rows, and columns whose names clash."""
     long = "lorem ipsum dolor " * 4000
     rows = [(1, None, None, None, "a"), (2, "", "en", "s", "b"), (3, "x", "en", "s", "c"), (3, "x", "en", "s", "c"), (None, "no id at all here", "en", None, "d"), (5, long, "en", "s", "e"), (6, "\n \t", None, "s", "f")]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string")
+    clash = ["_t", "_w", "_n", "_norm", "_found", "_row", "_lang", "_host", "_id", "_chars", "N_Words", "m_symbols", "f_symbols", "key", "bands", "head", "want", "P_text"]
+    return df.withColumns({c: F.lit(k) for k, c in enumerate(clash)})
 
 
 def words_of(text):
@@ -189,7 +192,7 @@ def test_quality_base_equals_brute_force(docs, texts):
 
 
 def test_quality_fences_equal_brute_force(docs):
-    m = measure(docs.withColumnsRenamed({"lang": "_lang", "source": "_source"}))
+    m = measure(docs, docs["text"], {"_lang": docs["lang"], "_source": docs["source"]})
     rows = m.collect()
     groups = defaultdict(list)
     for r in rows:
@@ -206,7 +209,8 @@ def test_quality_fences_equal_brute_force(docs):
 
 def test_quality_of_odd_rows(odd):
     rows = quality_rules(odd).collect()
-    assert len(rows) == 7 and not any(r.kept for r in rows) and odd.drop("kept").columns == quality_rules(odd).columns[:4]
+    assert len(rows) == 7 and not any(r.kept for r in rows) and odd.drop("kept", "N_Words").columns == quality_rules(odd).columns[:-7]
+    assert sorted((r.doc_id or 0, r.n_words) for r in rows) == [(0, 5), (1, 0), (2, 0), (3, 1), (3, 1), (5, 12000), (6, 0)]
     assert quality_rules(odd.limit(0)).count() == 0
 
 

@@ -9,8 +9,12 @@ import uuid
 import zipfile
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: What goes to a Python worker at once: texts may be long, so neither many rows nor many bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+DEFAULTS = {"10000", "67108864b"}
 _shipped: set[str] = set()
 _written: list[str] = []
 
@@ -30,8 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def whole_row(docs: DataFrame, keep: list[str] | None, results: list[str]) -> Column:
+    """The columns `keep` of docs (all unless given) but those named like a result, as one struct: inside it no name clashes with an operator's own."""
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
+    return F.struct(*[F.col(f"`{c}`") for c in names])
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package through the shared folder, whatever their module path; once per application."""
+    """Give executors this package through the shared folder, whatever their module path; once per application. Batches for Python get a bound on rows and bytes."""
+    for key, most in BATCH.items():
+        if spark.conf.get(key) in DEFAULTS:
+            spark.conf.set(key, most)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

@@ -14,6 +14,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 #: The phrases whose places and labels every scan reports.
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -116,6 +118,7 @@ def _creative(kind: str) -> str:
     return "creative commons " + " ".join(parts[x] for x in kind.split())
 
 
+RESULT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "kept_matches"]
 _RULE_DDL = "array<struct<no:int,label:string,keyword:string,regex:string,priority:int,confidence:double,base:boolean>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -132,14 +135,13 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rule_list: list[dict]
     (''), null places, score 0. A word or phrase that recurs counts at every place; rules that tie on an interval go by priority,
     then by their order. Other columns pass through; columns of the same names as the results are replaced.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "kept_matches"}]
     low = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), _UPPER, _LOWER)
     body = F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")
     trimmed = F.trim(body)
     chosen = rule_list or rules()
     table = F.from_json(F.lit(json.dumps(chosen)), _RULE_DDL)
     gates = F.array(*[F.lit(k) for k in sorted({r["keyword"] for r in chosen})])
-    words = docs.select(*keep, F.when(trimmed == "", F.lit("")).otherwise(F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("_norm"))
+    words = docs.select(whole_row(docs, None, RESULT).alias("_row"), F.when(trimmed == "", F.lit("")).otherwise(F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("_norm"))
     gated = words.withColumn("_words", F.filter(gates, lambda k: F.contains(F.col("_norm"), k)))
     found = gated.withColumn("_rules", F.when(F.size("_words") > 0, table)).withColumn(
         "_found",
@@ -169,9 +171,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rule_list: list[dict]
                    'n', acc.n + 1)))"""
         ),
     ).withColumn("_base", F.expr("filter(_found, d -> d.base)"))
-    names = [c for c in words.columns if c != "_norm"]
     return kept.select(
-        *[F.col(f"`{c}`") for c in names],
+        "_row.*",
         F.expr(_n_words("_norm")).cast("long").alias("n_words"),
         F.size("_base").cast("long").alias("n_base"),
         F.expr("cast(array_min(transform(_base, d -> d.start)) as long)").alias("first_word"),

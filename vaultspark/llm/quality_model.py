@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_row
 
 #: About so many labelled documents at most are gathered to fit the classifier: a bound on the driver's memory, not on what is scored.
 TRAIN_ROWS = 20_000
@@ -24,14 +24,14 @@ _SPACE, _UPPER, _DIGITS = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123
 RESULT = ["p_text", "p_path", "p_quality", "accepted"]
 
 
-def featured(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and the features `f_*`, each finite and of the order of 1."""
+def featured(docs: DataFrame, text: F.Column, keep: dict[str, F.Column]) -> DataFrame:
+    """The columns `keep` and the features `f_*`, each finite and of the order of 1."""
     less = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"))
+    d = docs.select(*[c.alias(n) for n, c in keep.items()], F.coalesce(text.cast("string"), F.lit("")).alias("_t"))
     d = d.withColumn("_w", F.expr(r"transform(filter(split(_t, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w))"))
     d = d.withColumn("_l", F.expr(r"filter(split(_t, '\n'), x -> rlike(x, '[^\\x20\\x09-\\x0D]'))"))
     d = d.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *keep,
         F.size("_w").alias("_n"),
         F.greatest(F.length(F.translate("_t", _SPACE, "")), F.lit(1)).alias("_c"),
         F.size(F.array_distinct("_w")).alias("_d"),
@@ -57,7 +57,7 @@ def featured(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         "distinct_by_length": (F.col("_d") / words) * F.log1p("_n") / 10,
         "dup_lines_any": F.when(F.col("_nl") > F.col("_dl"), 1.0).otherwise(0.0),
     }
-    return d.select(*[F.col(f"`{c}`") for c in keep], *[by[f].cast("double").alias(f"f_{f}") for f in FEATURES])
+    return d.select(*keep, *[by[f].cast("double").alias(f"f_{f}") for f in FEATURES])
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -86,7 +86,7 @@ def train(marked: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
     if n > rows:
         given = given.where(F.expr(f"pmod(xxhash64(_id), {1 << 30}) < {(rows << 30) // n}"))
     sample = (
-        given.join(marked.select(F.col(f"`{id_col}`").alias("_id"), *[f"f_{f}" for f in FEATURES]), "_id")
+        given.join(marked.select("_id", *[f"f_{f}" for f in FEATURES]), "_id")
         .select("_y", *[f"f_{f}" for f in FEATURES]).toPandas()
     )
     return fit(sample[[f"f_{f}" for f in FEATURES]].to_numpy(float), sample["_y"].to_numpy(float))
@@ -117,10 +117,9 @@ def quality_classes(
     A null text is an empty one. Labels with nulls are left out; of several for an id the largest holds; without any, all texts have even odds.
     Repeated rows count, and come back, as often as they occur. Columns of docs named like a result are replaced. An empty table gives an empty result.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
+    row = whole_row(docs, keep, RESULT)
     host, path = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in (host_col, path_col))
-    inner = list(dict.fromkeys([*keep, id_col]))
-    marked = cut(featured(docs.withColumns({"_host": host, "_path": path}), text_col, [*inner, "_host", "_path"]), "quality-model")
+    marked = cut(featured(docs, F.col(f"`{text_col}`"), {"_row": row, "_id": F.col(f"`{id_col}`"), "_host": host, "_path": path}), "quality-model")
     w = train(marked, labels, id_col, rows=train_rows)
     logit = F.lit(float(w[-1]))
     for f, x in zip(FEATURES, w, strict=False):
@@ -141,5 +140,5 @@ def quality_classes(
         scored.join(known, ["_host", "_path"], "left")
         .withColumn("p_quality", 1 / (1 + F.exp(-total_logit)))
         .withColumn("accepted", F.col("p_quality") >= threshold)
-        .select(*[F.col(f"`{c}`") for c in keep], *RESULT)
+        .select("_row.*", *RESULT)
     )

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_row
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 #: Measure: the fence lies between the two (per mille; letters a word times ten for word_len), wherever the quantiles put it.
@@ -28,10 +28,9 @@ def _less(text: str, chars: str) -> F.Column:
     return F.length(text) - F.length(F.translate(F.col(text), chars, ""))
 
 
-def measure(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs with the counts and the measures `m_*`. Words are runs of other than space and U+0009-U+000D."""
-    keep = docs.columns if keep is None else keep
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"))
+def measure(docs: DataFrame, text: F.Column, keep: dict[str, F.Column]) -> DataFrame:
+    """The columns `keep` with the counts and the measures `m_*`. Words are runs of other than space and U+0009-U+000D."""
+    d = docs.select(*[c.alias(n) for n, c in keep.items()], F.coalesce(text.cast("string"), F.lit("")).alias("_t"))
     d = d.withColumn("_w", F.expr(r"transform(filter(split(_t, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w))"))
     d = d.withColumn("_lines", F.expr(r"filter(split(_t, '\n'), x -> rlike(x, '[^\\x20\\x09-\\x0D]'))"))
     # A window's hash and place; equal hashes meet in sort order.
@@ -41,7 +40,7 @@ def measure(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
     d = d.withColumn("_at", F.expr("sort_array(transform(filter(_g, (x, k) -> (k > 0 and _g[greatest(k - 1, 0)].h = x.h) or (k < _n - 1 and _g[least(k + 1, _n - 1)].h = x.h)), x -> x.i))"))
     repeat = F.expr(f"coalesce(aggregate(_at, named_struct('to', 0, 'n', 0L), (acc, i) -> named_struct('to', i + {WINDOW}, 'n', acc.n + (i + {WINDOW} - greatest(i, acc.to))), acc -> acc.n), 0L)")
     d = d.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *keep,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate(F.col("_t"), _SPACE, "")).cast("long").alias("word_chars"),
         _less("_t", "#*$%&|<>").cast("long").alias("n_symbols"),
@@ -93,9 +92,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     sources are a group of their own. Repeated rows count, and come back, as often as they occur; ties stay inside the fence.
     Columns of docs named like a result are replaced. An empty table gives an empty result.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
+    row = whole_row(docs, keep, RESULT)
     lang, source = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in (lang_col, source_col))
-    held = cut(measure(docs.withColumns({"_lang": lang, "_source": source}), text_col, [*keep, "_lang", "_source"]), "quality")
+    held = cut(measure(docs, F.col(f"`{text_col}`"), {"_row": row, "_lang": lang, "_source": source}), "quality")
     every = cut(fences(sketch(held, "_lang", "_source")), "fences")
     wide = lambda level, keys: every.where(F.col("level") == level).groupBy(*keys).agg(
         F.max("n_docs").alias(f"_d{level}"), *[F.max(F.when(F.col("m") == m, F.col("fence"))).alias(f"_f{level}_{m}") for m in FENCES]
@@ -113,5 +112,5 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         held.join(chosen, ["_lang", "_source"], "left")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & inside)
-        .select(*[F.col(f"`{c}`") for c in keep], *RESULT)
+        .select("_row.*", *RESULT)
     )
