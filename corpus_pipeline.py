@@ -14,21 +14,26 @@ from vaultspark.llm.quality_rules import quality_rules
 from vaultspark.llm.queries import WORD_BPE
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """The columns that the filters read, and the whole document as one, which they pass on as it is."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text", "lang", "source")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts."""
-    return quality_classes(docs, table(spark, sf_dir, "labels")).where("accepted").select(docs.columns)
+    return quality_classes(_held(docs), table(spark, sf_dir, "labels"), keep=["doc"]).where("accepted").select("doc.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that keep within the rules."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    return quality_rules(_held(docs), keep=["doc"]).where("kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that of the smallest id. A row that repeats an id and text goes too. Rows without an id stay unless their text is another's."""
     classes = ngram_jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["_kept"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
