@@ -102,7 +102,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     groups = wide(0, ["_lang", "_source"]).join(wide(1, ["_lang"]), "_lang", "left")
     overall = {r["m"]: r["fence"] for r in every.where("level = 2").select("m", "fence").collect()}  # one row a measure
     enough = lambda m: F.when(F.col("_d0") >= LEAST, F.col(f"_f0_{m}")).when(F.col("_d1") >= LEAST, F.col(f"_f1_{m}")).otherwise(F.lit(overall.get(m)))
-    chosen = groups.select("_lang", "_source", *[enough(m).alias(f"_f_{m}") for m in FENCES])
+    # Written, so its size is known: Spark broadcasts it below its threshold, and else splits a hot group's rows over tasks.
+    chosen = cut(groups.select("_lang", "_source", *[enough(m).alias(f"_f_{m}") for m in FENCES]), "group-fences")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     inside = None
     for m in FENCES:
