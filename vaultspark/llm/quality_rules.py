@@ -17,7 +17,7 @@ from .common import cut, whole_row
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 #: Measure: the fence lies between the two (per mille; letters a word times ten for word_len), wherever the quantiles put it.
-FENCES = {"symbols": (60, 250), "dup_lines": (300, 700), "stutter": (120, 400), "capitals": (350, 700), "marks": (150, 400), "word_len": (120, 300)}
+FENCES = {"symbols": (60, 250), "dup_lines": (500, 800), "stutter": (120, 400), "capitals": (350, 700), "marks": (150, 400), "word_len": (120, 300)}
 QUANTILES, SPREAD, LEAST = (0.5, 0.9), 3.0, 200
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
