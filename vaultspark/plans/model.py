@@ -71,11 +71,19 @@ class Model:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """From the later to the earlier of two findings on one part, of different papers, that ship within 30 days."""
-        a = self._lines.select("l_partkey", F.col("slug").alias("dst"), F.col("l_orderkey").alias("oa"), F.col("day").alias("da"), F.col("l_linenumber").alias("na"))
-        b = self._lines.select("l_partkey", F.col("slug").alias("src"), F.col("l_orderkey").alias("ob"), F.col("day").alias("db"), F.col("l_linenumber").alias("nb"))
+        """From the later to the earlier of two findings on one part, of different papers, that ship within 30 days.
+
+        Days fall into bins as long as the reach; the earlier finding is in its own and the next, so a range join is an equi-join on part
+        and bin, and each pair meets once. Only numbers are shuffled; slugs are written for the pairs that are left.
+        """
+        l = self._lines.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "day", F.floor(F.unix_date("day") / (NEAR_DAYS + 1)).alias("bin"))  # noqa: E741
+        side = lambda df, x: df.select("l_partkey", "bin", *[F.col(c).alias(f"{x}_{c}") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "day")])
+        a = side(l.withColumn("bin", F.explode(F.array("bin", F.col("bin") + 1))), "a")
+        b = side(l, "b")
+        met = a.join(b, ["l_partkey", "bin"]).where(f"a_l_orderkey <> b_l_orderkey and b_day >= a_day and b_day <= date_add(a_day, {NEAR_DAYS})")
+        slug = lambda x: F.expr(f"concat('f-', {x}_l_orderkey, '-', {x}_l_linenumber, '-', l_partkey, '-', {x}_l_suppkey, '-', date_format({x}_day, 'yyyyMMdd'))")
         kinds = ", ".join(f"'{t}'" for t in EDGE_TYPES)
-        return a.join(b, "l_partkey").where(f"oa <> ob and db >= da and db <= date_add(da, {NEAR_DAYS})").select("src", F.expr(f"element_at(array({kinds}), (na + nb) % 5 + 1)").alias("etype"), "dst")
+        return met.select(slug("b").alias("src"), F.expr(f"element_at(array({kinds}), (a_l_linenumber + b_l_linenumber) % 5 + 1)").alias("etype"), slug("a").alias("dst"))
 
     @cached_property
     def slugs(self) -> DataFrame:
