@@ -1,5 +1,6 @@
 """Citations, existing papers, inserts, near-duplicates and the log."""
 
+import datetime
 import difflib
 import json
 import random
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from vaultspark import agents
 from vaultspark.functions.similarity import bag, bag_bound, seq_ratio
 from vaultspark.operators import cite, neardup, upserts
+from vaultspark.plans import catalogue
 from vaultspark.streaming import log
 
 PAPERS = "slug string, title string, authors array<string>, arxiv_id string, doi string, publication_date string, source_url string, sort_key string"
@@ -128,6 +130,32 @@ def test_clusters_equal_replay(spark):
     assert {(r.a, r.b) for r in neardup.cluster_links(clusters).collect()} == {(a, b) for g in groups.values() for a in g for b in g if a < b}
 
 
+def test_pairs_of_whole_texts(spark, tmp_path):
+    random.seed(8)
+    words = "tide river quiet jazz exact vowel kind fox maze by of the and in zinc quick".split()
+    prose = lambda n: " ".join(random.choice(words) for _ in range(n))
+    opening, texts = prose(40), []
+    for _ in range(6):
+        body = prose(120)
+        texts += [opening + " " + body, prose(2) + " " + body, opening[:-9] + " " + body.replace("fox", "foxes", 1), body]
+    texts += ["a" * 400] * 3 + ["".join(random.choice("abc") for _ in range(n)) for n in (0, 1, 199, 200)] * 2
+    texts += [texts[0], texts[5]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    first = datetime.date(1992, 1, 1)
+    new = {k for k in range(len(texts)) if first + datetime.timedelta(k * 997 % 2406) >= datetime.date(1997, 1, 1)}
+    want = {}
+    for a in new:
+        for b, t in enumerate(texts):
+            ratio = difflib.SequenceMatcher(None, texts[a], t).ratio()
+            if a != b and t and texts[a] and ratio >= 0.92:
+                want[f"d{a:012d}", f"d{b:012d}"] = round(ratio, 6)
+    rows = catalogue.queries()["neardup_pairs"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b): r.ratio for r in rows} == want and len(rows) == len(want) > 8
+    assert any(0.92 <= r < 1 for r in want.values()) and want["d000000000026", "d000000000024"] == 1
+    cut = {(a, b) for a in new for b, t in enumerate(texts) if a != b and t[:160] == texts[a][:160]}
+    assert any((f"d{a:012d}", f"d{b:012d}") not in want for a, b in cut)
+
+
 def test_scope(spark):
     f = spark.createDataFrame([("a", "2024-01-01"), ("b", None)], "slug string, extracted_date string")
     assert [r.is_new for r in neardup.scope(f, since="2024-01-01").collect()] == [True, False]
