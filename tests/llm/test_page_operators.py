@@ -106,6 +106,23 @@ def test_main_text(page):
     assert main_text(page) == ARTICLES[page]
 
 
+LONG = "One, two, three words in a longer paragraph of the main text. " * 5
+
+
+@pytest.mark.parametrize("names", ["content has-sidebar", "with-sidebar", "layout-no-sidebar", "entry no-comments", "post hentry category-legal", "post type-post tag-social", "side-by-side", "search-results", "page-widget"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_do_not_drop_the_main_text(tag, names):
+    page = f"<body><div class='site-menu'><a href=1>m</a></div><{tag} class='{names}'><h1>T</h1><p>{LONG}</p><div class='related-box'>no</div></{tag}><div class='sidebar'><p>No, no, no.</p></div></body>"
+    assert main_text(page) == "T " + LONG.strip()
+
+
+def test_forms_and_links_of_the_main_text():
+    links = "".join(f"<li><a href={k}>link {k}</a>" for k in range(4))
+    assert main_text(f"<body><form id=aspnetForm><input><div><p>{LONG}</p></div></form><form><p>Mail, name.</p></form>") == LONG.strip()
+    assert main_text(f"<article><p>{LONG}</p><ul>{links}</ul></article><ul>{links}</ul>") == LONG + "link 0 link 1 link 2 link 3"
+    assert main_text(f"<div><p>{LONG}</p><div class='comments-area'><p>{LONG * 3}</p></div></div>") == LONG.strip()
+
+
 def test_main_text_of_articles(pages):
     for r in pages.collect():
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]

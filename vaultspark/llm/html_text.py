@@ -39,7 +39,7 @@ _SIBLINGS = {
     "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-_FURNITURE = frozenset("head nav footer aside form fieldset button select option input label menu dialog iframe object embed svg canvas audio video map applet script style noscript template textarea title".split())
+_FURNITURE = frozenset("head nav footer aside fieldset button select option input label menu dialog iframe object embed svg canvas audio video map applet script style noscript template textarea title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Parts of class names and ids that mark furniture, wherever they stand.
 _NAMES = re.compile(
@@ -47,6 +47,11 @@ _NAMES = re.compile(
     re.I,
 )
 _HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+#: Names that say what a page has, lacks or is filed under, not what the element is.
+_MODIFIED = re.compile(r"(?<!\S)(?:\S*?[_-])?(?:has|no|not|with|without|category|tag)[_-]\S*|(?<!\S)side-by-side(?!\S)", re.I)
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|responses?|discussion|repl(?:y|ies))(?:$|[\s_-])", re.I)
+#: What an element is: text, furniture whatever it holds, or furniture unless more than this share of the page's unlinked text is in it.
+_TEXT, _ALWAYS, _MOST, _NEARLY_ALL = 0.0, 2.0, 0.5, 0.95
 _LINKS_ONLY, _LEAST_LINKS, _SIBLING_SHARE = 0.8, 3, 0.2
 
 
@@ -59,24 +64,42 @@ class Node:
         self.points, self.size, self.linked, self.links = 0.0, 0, 0, 0
 
 
-def _furniture(tag: str, attributes: str, parent: Node) -> bool:
+def _furniture(tag: str, attributes: str, parent: Node) -> float:
     if tag in _FURNITURE:
-        return True
+        return _ALWAYS
     if tag == "header":
-        return not _within(parent, "article")
+        return _TEXT if _within(parent, "article") else _ALWAYS
+    least = _MOST if tag == "form" else _TEXT
     if not attributes.strip():
-        return False
+        return least
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return _ALWAYS
     if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
-    if tag in ("html", "body", "main"):
-        return False
+        return _ALWAYS
+    if tag in ("html", "body", "main", "article"):
+        return _TEXT
     names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", html.unescape(f"{found.get('class', '')} {found.get('id', '')}"))
-    if _HEADER.search(names) and not (_within(parent, "article") or _within(parent, "main")):
-        return True
-    return bool(_NAMES.search(names))
+    names = _MODIFIED.sub(" ", names)
+    header = _HEADER.search(names) and not (_within(parent, "article") or _within(parent, "main"))
+    if not header and not _NAMES.search(names):
+        return least
+    # A name that is the word itself, and any name for comments, which may be longer than the article, says more than a part of a name.
+    whole = any(not re.search("[_-]", x) and (_NAMES.search(x) or header and _HEADER.search(x)) for x in names.split())
+    return _NEARLY_ALL if whole or _COMMENTS.search(names) else _MOST
+
+
+def _mark(nodes: list[Node], kinds: list[float]) -> None:
+    """Sets drop: furniture that does not hold the main text, and what is below it."""
+    if any(_TEXT < k < _ALWAYS for k in kinds):
+        held: dict[int, int] = {}
+        for x, kind in zip(reversed(nodes), reversed(kinds), strict=True):  # children before parents
+            if kind < _ALWAYS and x.tag != "a":
+                held[id(x)] = sum(len(p.strip()) if isinstance(p, str) else held.get(id(p), 0) for p in x.parts if p is not None)
+        total = held[id(nodes[0])]
+        kinds = [_TEXT if k < _ALWAYS and held.get(id(x), 0) > k * total else k for x, k in zip(nodes, kinds, strict=True)]
+    for x, kind in zip(nodes, kinds, strict=True):
+        x.drop = kind > _TEXT or x.parent is not None and x.parent.drop
 
 
 def _within(node: Node | None, tag: str) -> bool:
@@ -90,7 +113,7 @@ def _within(node: Node | None, tag: str) -> bool:
 def parse(page: str) -> list[Node]:
     """All elements in page order; the first is the root. Text parts are decoded strings; None marks a line break."""
     root = Node("", None, False)
-    nodes, open_ = [root], root
+    nodes, kinds, open_ = [root], [_TEXT], root
     at, n = 0, len(page)
     find = _TAG.search
     while at < n:
@@ -115,14 +138,16 @@ def parse(page: str) -> list[Node]:
             open_ = _shut(open_, {"p"}, {"table", "td", "th", "button", "caption"})
         if tag in _SIBLINGS:
             open_ = _shut(open_, *_SIBLINGS[tag])
-        node = Node(tag, open_, open_.drop or _furniture(tag, attributes, open_))
+        node = Node(tag, open_, False)
         open_.parts.append(node)
         nodes.append(node)
+        kinds.append(_furniture(tag, attributes, open_))
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             at = end.start() if end else n
         if tag not in _VOID:
             open_ = node
+    _mark(nodes, kinds)
     return nodes
 
 
@@ -242,8 +267,10 @@ def main_text(page: str | None) -> str:
                 if reads or value(s) >= limit and (top.tag != "article" or s.tag == "article"):
                     chosen.append(s)
     wanted = {id(c) for c in chosen}
-    keep = lambda x: not x.drop and not (x.tag in ("ul", "ol", "div", "section", "table", "p") and x.links >= _LEAST_LINKS and _density(x) >= _LINKS_ONLY)
+    links = lambda x: x.tag in ("ul", "ol", "div", "section", "table", "p") and x.links >= _LEAST_LINKS and _density(x) >= _LINKS_ONLY
     out = []
+    # An article's lists of links are its own.
+    keep = lambda x: not x.drop and (top.tag == "article" or not links(x))
     for c in [top] if len(chosen) == 1 else [s for s in top.parent.parts if id(s) in wanted]:
         out += [text for text, _, _ in _blocks(c, keep)]
     return " ".join(out)
