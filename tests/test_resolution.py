@@ -59,6 +59,26 @@ def test_cascade(spark):
     assert sorted(r.doc_id for r in cite.cascade(rows, long, gate=False).collect()) == [0, 1]
 
 
+def test_fuzzy_titles_of_bibliographies(spark, tmp_path):
+    random.seed(9)
+    d = [(k, random.choice(["", "a text"])) for k in range(12)]
+    o = [(k, k * 37 % 90 + 1, random.choice(["1-URGENT", "5-LOW", "4-NOT SPECIFIED"]), "O", datetime.date(1995, 1, 1 + k % 28)) for k in range(1, 41)]
+    spark.createDataFrame(d, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(o, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    m = catalogue.Model(spark, str(tmp_path))
+    known = [(r.slug, r.title) for r in cite.titles(m.papers).collect()]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = set()
+    for r in cite.probes(m.cited).collect():
+        for slug, t in known:
+            n, b = len(t), r.bib_norm
+            if n >= 20 and difflib.SequenceMatcher(None, t, b).quick_ratio() >= 0.5 and any(ratio(t, b[i : i + n + 10]) >= 0.85 for i in range(0, max(1, len(b) - n + 1), max(1, n // 2))):
+                want.add((r.doc_id, slug))
+    assert set(found(catalogue.queries()["cite_fuzzy_title"](spark, str(tmp_path)))) == want and want
+    rules = {(r.doc_id, r.slug): r.rule for r in catalogue.queries()["cite_cascade_fuzzy"](spark, str(tmp_path)).collect()}
+    assert want <= set(rules) and "fuzzy title" in rules.values()
+
+
 def test_existing(spark):
     p = papers(spark, ("z", "t", [], "1706.03762", None, None, None), ("a", "t", [], None, "10.1/X", None, "https://E.org"))
     r = spark.createDataFrame([(1, "https://q", "1706.03762v5", None), (2, " https://e.org ", None, None), (3, "https://e.org", "1706.03762", None), (4, "https://n", None, "")], "req_id long, source_url string, arxiv_id string, doi string")

@@ -43,6 +43,39 @@ def window_ratio(title: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def window_match(title: Column, text: Column, least: float, gate: float) -> Column:
+    """Whether window_ratio(title, text) is `least` at least and, as the gate, the ratio of common characters `gate` at least.
+
+    A ratio's matching blocks are a common subsequence; where the longest is too short, nothing else is tried.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def run(title: pd.Series, text: pd.Series) -> pd.Series:
+        out, last, masks = [], None, {}
+        for t, b in zip(title, text, strict=True):
+            if b != last:
+                last, masks = b, {}
+                for k, c in enumerate(b):
+                    masks[c] = masks.get(c, 0) | 1 << k
+            n = len(t)
+
+            def common(lo: int, hi: int, t=t, masks=masks) -> int:
+                v = full = (1 << hi - lo) - 1
+                for c in t:
+                    u = v & (masks.get(c, 0) >> lo)
+                    v = ((v + u) | (v - u)) & full
+                return hi - lo - v.bit_count()
+
+            ok = 2.0 * common(0, len(b)) / (n + min(n, len(b))) >= least and difflib.SequenceMatcher(None, t, b).quick_ratio() >= gate
+            out.append(ok and any(
+                2.0 * common(i, min(len(b), i + n + 10)) / (n + min(len(b) - i, n + 10)) >= least and difflib.SequenceMatcher(None, t, b[i : i + n + 10]).ratio() >= least
+                for i in range(0, max(1, len(b) - n + 1), max(1, n // 2))
+            ))
+        return pd.Series(out, dtype="bool")
+
+    return run(title, text)
+
+
 def bag(c: Column) -> Column:
     """How often each character occurs: entries (character, count), by character."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")

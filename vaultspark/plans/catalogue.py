@@ -614,11 +614,15 @@ def cite_cascade(m: Model) -> DataFrame:
     return cite.cascade(m.cited, m.papers, fuzzy=False)
 
 
+@query()
+def cite_cascade_fuzzy(m: Model) -> DataFrame:
+    """All rules; cite_cascade's SQL leaves the fuzzy titles out."""
+    return cite.cascade(m.cited, m.papers)
+
+
 @query()
 def cite_fuzzy_title(m: Model) -> DataFrame:
-    bench = m.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("slug"), F.col("text").alias("title"))
-    short = m.table("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), X.normalize(F.col("text")).alias("bib_norm"))
-    return cite.by_fuzzy_title(short, bench)
+    return cite.by_fuzzy_title(cite.probes(m.cited), m.papers)
 
 
 # ---- inserts ----
