@@ -1,6 +1,9 @@
 """Edges, candidates, checks and views on small vaults."""
 
-from vaultspark.operators import checks, links, views
+import pytest
+
+from vaultspark.llm.components import connected_components
+from vaultspark.operators import checks, links, neardup, views
 
 FINDINGS = [("f1", "p1"), ("f2", "p2"), ("f3", "p1"), ("f4", None)]
 
@@ -118,3 +121,12 @@ def test_views(spark):
     assert [r.slug for r in views.papers_of(p, "authors", "y").collect()] == ["a", "c"]
     files = spark.createDataFrame([("papers/a.md",), ("views/x.md",), ("index.md",), ("log.md",)], "path string")
     assert sorted((r.path, r.group) for r in views.graph_nodes(files).collect()) == [("log.md", "other"), ("papers/a.md", "papers")]
+
+
+def test_unsettled_components_raise(spark):
+    chain = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(40)], "a string, b string")
+    assert {r.block for r in neardup.components(chain).collect()} == {"000"}
+    with pytest.raises(RuntimeError, match="settled"):
+        neardup.components(chain, rounds=2)
+    with pytest.raises(RuntimeError, match="settled"):
+        connected_components(chain.selectExpr("cast(a as long) as u", "cast(b as long) as v"), max_rounds=2)

@@ -13,6 +13,7 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60
 
     Nulls and self edges are ignored; repeated edges count once. Each round's edges are written to the shared
     folder, so lineage stays short and lost executors cost one round; nothing is gathered on the driver but a count and a hash.
+    An error if more than max_rounds are needed.
     """
     e = cut(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
@@ -38,4 +39,6 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
