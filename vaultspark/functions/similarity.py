@@ -66,11 +66,11 @@ def window_match(title: Column, text: Column, least: float, gate: float) -> Colu
                     v = ((v + u) | (v - u)) & full
                 return hi - lo - v.bit_count()
 
-            ok = 2.0 * common(0, len(b)) / (n + min(n, len(b))) >= least and difflib.SequenceMatcher(None, t, b).quick_ratio() >= gate
+            ok = 2.0 * common(0, len(b)) / (n + min(n, len(b))) >= least
             out.append(ok and any(
                 2.0 * common(i, min(len(b), i + n + 10)) / (n + min(len(b) - i, n + 10)) >= least and difflib.SequenceMatcher(None, t, b[i : i + n + 10]).ratio() >= least
                 for i in range(0, max(1, len(b) - n + 1), max(1, n // 2))
-            ))
+            ) and difflib.SequenceMatcher(None, t, b).quick_ratio() >= gate)
         return pd.Series(out, dtype="bool")
 
     return run(title, text)
