@@ -22,7 +22,7 @@ from vaultspark.llm.license_scan import BASE_PHRASES, rules, scan_licenses
 from vaultspark.llm.ngram_join import ngram_jaccard_classes
 from vaultspark.llm.packing import Packer, pack_documents
 from vaultspark.llm.quality_model import quality_classes
-from vaultspark.llm.quality_rules import FENCES, fences, measure, quality_rules, sketch
+from vaultspark.llm.quality_rules import MEASURES, fences, measure, quality_rules, quantile_fences, sketch
 from vaultspark.llm.queries import BYTE_BPE, WORD_BPE, queries
 from vaultspark.llm.syncmers import fingerprint_pairs
 from vaultspark.llm.word_tokens import WordTokenizer
@@ -191,20 +191,53 @@ def test_quality_base_equals_brute_force(docs, texts):
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.kept and r.base_failed)
 
 
-def test_quality_fences_equal_brute_force(docs):
-    m = measure(docs, docs["text"], {"_lang": docs["lang"], "_source": docs["source"]})
-    rows = m.collect()
+def brute_fences(rows):
+    """(lang, source, measure) -> fence, and the raw ones by level, from rows with _lang, _source and m_*."""
     groups = defaultdict(list)
     for r in rows:
-        for key in ((0, r._lang, r._source), (1, r._lang, ""), (2, "", "")):
-            for name in FENCES:
+        for key in ((0, r["_lang"], r["_source"]), (1, r["_lang"], ""), (2, "", "")):
+            for name in MEASURES:
                 groups[(*key, name)].append(r[f"m_{name}"])
-    for r in fences(sketch(m, "_lang", "_source")).collect():
-        v = sorted(groups.pop((r.level, r._lang, r._source, r.m)))
-        at = lambda p: next(x for k, x in enumerate(v, 1) if k >= len(v) * p)
-        lo, hi = FENCES[r.m]
-        assert r.n_docs == len(v) and r.fence == max(lo, min(hi, at(0.9) + 3 * (at(0.9) - at(0.5))))
-    assert not groups
+
+    def raw(v):
+        v = sorted(v)
+        mid, top = (next(x for k, x in enumerate(v, 1) if k >= len(v) * p) for p in (0.5, 0.75))
+        return len(v), top + 3 * (top - mid)
+
+    own = {k: raw(v) for k, v in groups.items()}
+    drawn = lambda a, to: (a[0] * a[1] + 100 * to) // (a[0] + 100)
+    return {(l, s, m): drawn(x, drawn(own[1, l, "", m], own[2, "", "", m][1])) for (level, l, s, m), x in own.items() if level == 0}, own
+
+
+def test_quality_fences_equal_brute_force(docs):
+    held = measure(docs, docs["text"], {"doc_id": docs["doc_id"], "_lang": docs["lang"], "_source": docs["source"]})
+    rows = held.collect()
+    want, own = brute_fences(rows)
+    raw = quantile_fences(sketch(held, "_lang", "_source"))
+    assert {(r.level, r._lang, r._source, r.m): (r.n_docs, r.raw) for r in raw.collect()} == own
+    assert {(r._lang, r._source, r.m): r.fence for r in fences(raw).collect()} == want
+    kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    for r in rows:
+        inside = not (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        for m, (count, trials, scale) in MEASURES.items():
+            expected = r[trials] * want[r._lang, r._source, m] / scale
+            inside &= (r[count] - expected) <= 4 * (expected + 1) ** 0.5 + 1e-9
+        assert kept[r.doc_id] == inside
+
+
+def test_quality_fences_follow_the_group(spark):
+    """The same text passes where its like is usual, and fails where it is not: no fixed cutoff gives both."""
+    rng = random.Random(7)
+    text = lambda share: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(1000)) + ("#" if rng.random() < share else "") for _ in range(120))
+    rows = [(k, text(0.0), "en", "prose", 0) for k in range(400)] + [(1000 + k, text(0.3), "en", "code", 0) for k in range(400)]
+    rows += [(5000, rows[400][1], "en", "prose", 0), (5001, rows[400][1], "en", "code", 0), (5002, rows[400][1], "en", "tiny", 0), (5003, rows[0][1], "en", "tiny", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.kept for r in quality_rules(df).collect()}
+    assert all(kept[k] for k in range(400)) and sum(kept[1000 + k] for k in range(400)) >= 396
+    assert not kept[5000] and kept[5001] and kept[5002] and kept[5003]
+    held = measure(df, df["text"], {"_lang": df["lang"], "_source": df["source"]})
+    found = {(r._source, r.m): r.fence for r in fences(quantile_fences(sketch(held, "_lang", "_source"))).collect()}
+    assert found["prose", "symbols"] < found["code", "symbols"] and found["prose", "symbols"] != found["tiny", "symbols"]
 
 
 def test_quality_of_odd_rows(odd):

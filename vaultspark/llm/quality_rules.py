@@ -1,11 +1,13 @@
 """Quality rules with adaptive thresholds.
 
-1. Counts of each text, in one row's SQL expressions.
-2. Each measure is an integer, so the numbers of documents by value are a quantile sketch that merges by addition, is bounded
+1. Counts of each text, in one row's SQL expressions. A measure is a count among so many trials: symbols among characters, say.
+2. Rates are integers, so the numbers of documents by value are a quantile sketch that merges by addition, is bounded
    (1,001 values a group and measure) and does not depend on how the rows are dealt out.
-3. The sketches are merged per language and source, per language, and over all; each gives a fence. A group with few
-   documents borrows the fence of its language, or of all.
-4. The fences join back to the documents.
+3. The sketches are merged per language and source, per language, and over all. Quantiles of each give a fence, the rate that a
+   usual text keeps below: the upper quantile and SPREAD times its distance from the middle. A group's fence is drawn towards its
+   language's, and that towards all, by how few documents there are: n / (n + PRIOR) of it is its own. No constant bounds a fence.
+4. The fences join back to the documents. A text fails a rule if its count exceeds what the fence's rate leads one to expect among its
+   trials by more than Z standard deviations of such a count (Poisson's, plus one), so one repeated line of three says little.
 """
 
 from __future__ import annotations
@@ -16,9 +18,16 @@ from pyspark.sql import functions as F
 from .common import cut, whole_row
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-#: Measure: the fence lies between the two (per mille; letters a word times ten for word_len), wherever the quantiles put it.
-FENCES = {"symbols": (60, 250), "dup_lines": (500, 800), "stutter": (120, 400), "capitals": (350, 700), "marks": (150, 400), "word_len": (120, 300)}
-QUANTILES, SPREAD, LEAST = (0.5, 0.9), 3.0, 200
+#: Measure: its count, among so many trials, a rate for so many of them.
+MEASURES = {
+    "symbols": ("n_symbols", "word_chars", 1000),
+    "dup_lines": ("n_dup_lines", "_n_lines", 1000),
+    "stutter": ("_n_stutter", "n_words", 1000),
+    "capitals": ("_n_capitals", "word_chars", 1000),
+    "marks": ("_n_marks", "word_chars", 1000),
+    "word_len": ("word_chars", "n_words", 10),
+}
+QUANTILES, SPREAD, PRIOR, Z = (0.5, 0.75), 3, 100, 4
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -29,7 +38,7 @@ def _less(text: str, chars: str) -> F.Column:
 
 
 def measure(docs: DataFrame, text: F.Column, keep: dict[str, F.Column]) -> DataFrame:
-    """The columns `keep` with the counts and the measures `m_*`. Words are runs of other than space and U+0009-U+000D."""
+    """The columns `keep` with the counts and the rates `m_*`. Words are runs of other than space and U+0009-U+000D."""
     d = docs.select(*[c.alias(n) for n, c in keep.items()], F.coalesce(text.cast("string"), F.lit("")).alias("_t"))
     d = d.withColumn("_w", F.expr(r"transform(filter(split(_t, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w))"))
     d = d.withColumn("_lines", F.expr(r"filter(split(_t, '\n'), x -> rlike(x, '[^\\x20\\x09-\\x0D]'))"))
@@ -51,67 +60,68 @@ def measure(docs: DataFrame, text: F.Column, keep: dict[str, F.Column]) -> DataF
         F.expr("size(filter(_w, (x, k) -> k > 0 and x = _w[greatest(k - 1, 0)]))").cast("long").alias("_n_stutter"),
         repeat.alias("n_repeat_words"),
     )
-    return d.withColumns({
-        "m_symbols": F.expr("1000 * n_symbols div greatest(word_chars, 1)"),
-        "m_dup_lines": F.expr("1000 * n_dup_lines div greatest(_n_lines, 1)"),
-        "m_stutter": F.expr("1000 * _n_stutter div greatest(n_words, 1)"),
-        "m_capitals": F.expr("1000 * _n_capitals div greatest(word_chars, 1)"),
-        "m_marks": F.expr("1000 * _n_marks div greatest(word_chars, 1)"),
-        "m_word_len": F.expr("least(1000, 10 * word_chars div greatest(n_words, 1))"),
-    }).drop("_n_lines", "_n_capitals", "_n_marks", "_n_stutter")
+    return d.withColumns({f"m_{m}": F.expr(f"least(1000, {scale} * {count} div greatest({trials}, 1))") for m, (count, trials, scale) in MEASURES.items()})
 
 
 def sketch(measured: DataFrame, lang: str, source: str) -> DataFrame:
     """(_lang, _source, m, v, n): how many documents have value v of measure m. Counted before anything is shuffled."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"m_{m}").alias("v")) for m in FENCES]))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"m_{m}").alias("v")) for m in MEASURES]))
     return measured.select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), each.alias("x")).groupBy("_lang", "_source", "x.m", "x.v").agg(F.count("*").alias("n"))
 
 
-def fences(sketches: DataFrame) -> DataFrame:
-    """(level, _lang, _source, m, n_docs, fence) for each group, each language and all: quantiles of merged sketches."""
+def quantile_fences(sketches: DataFrame) -> DataFrame:
+    """(level, _lang, _source, m, n_docs, raw) for each group (0), each language (1) and all (2), from quantiles of merged sketches."""
     part = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("l"), source.alias("s"))
     groups = F.array(part(0, F.col("_lang"), F.col("_source")), part(1, F.col("_lang"), F.lit("")), part(2, F.lit(""), F.lit("")))
     merged = sketches.select(F.explode(groups).alias("g"), "m", "v", "n").groupBy("g", "m", "v").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("g", "m")
     cum = merged.withColumns({"upto": F.sum("n").over(w.orderBy("v")), "total": F.sum("n").over(w)})
     q = [F.min(F.when(F.col("upto") >= F.col("total") * p, F.col("v"))) for p in QUANTILES]
-    low = F.create_map(*[F.lit(x) for m, (lo, _) in FENCES.items() for x in (m, lo)])
-    high = F.create_map(*[F.lit(x) for m, (_, hi) in FENCES.items() for x in (m, hi)])
     return (
         cum.groupBy("g", "m").agg(F.max("total").alias("n_docs"), q[0].alias("mid"), q[1].alias("top"))
-        .withColumn("fence", F.greatest(low[F.col("m")], F.least(high[F.col("m")], F.col("top") + (SPREAD * (F.col("top") - F.col("mid"))).cast("long"))).cast("long"))
-        .select("g.level", F.col("g.l").alias("_lang"), F.col("g.s").alias("_source"), "m", "n_docs", "fence")
+        .select("g.level", F.col("g.l").alias("_lang"), F.col("g.s").alias("_source"), "m", "n_docs", F.expr(f"top + {SPREAD} * (top - mid)").alias("raw"))
     )
 
 
+def fences(raw: DataFrame) -> DataFrame:
+    """(_lang, _source, m, fence): a group's own fence, drawn towards its language's, drawn towards that of all."""
+    level = lambda k, *keys: raw.where(F.col("level") == k).select(*keys, "m", F.col("n_docs").alias(f"n{k}"), F.col("raw").alias(f"r{k}"))
+    lang = level(1, "_lang").join(level(2), "m").withColumn("towards", F.expr(f"(n1 * r1 + {PRIOR} * r2) div (n1 + {PRIOR})"))
+    return (
+        level(0, "_lang", "_source").join(lang.select("_lang", "m", "towards"), ["_lang", "m"])
+        .select("_lang", "_source", "m", F.expr(f"(n0 * r0 + {PRIOR} * towards) div (n0 + {PRIOR})").alias("fence"))
+    )
+
+
+def _outside(m: str) -> F.Column:
+    count, trials, scale = MEASURES[m]
+    # Both sides by the scale, so that all but the square is whole numbers.
+    over = f"cast({scale} * {count} - {trials} * _f_{m} as double)"
+    return F.expr(f"{over} > 0 and {over} * {over} > {Z * Z} * cast({scale} * ({trials} * _f_{m} + {scale}) as double)")
+
+
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all unless given) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     base_failed: under 20 words, or over 30 % of the words lie in 8-word windows that occur more than once in the text.
-    kept: not base_failed, and no measure above its group's fence. A null text has no words and fails. Null languages and
+    kept: not base_failed, and no measure outside its group's fence. A null text has no words and fails. Null languages and
     sources are a group of their own. Repeated rows count, and come back, as often as they occur; ties stay inside the fence.
     Columns of docs named like a result are replaced. An empty table gives an empty result.
     """
     row = whole_row(docs, keep, RESULT)
     lang, source = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in (lang_col, source_col))
     held = cut(measure(docs, F.col(f"`{text_col}`"), {"_row": row, "_lang": lang, "_source": source}), "quality")
-    every = cut(fences(sketch(held, "_lang", "_source")), "fences")
-    wide = lambda level, keys: every.where(F.col("level") == level).groupBy(*keys).agg(
-        F.max("n_docs").alias(f"_d{level}"), *[F.max(F.when(F.col("m") == m, F.col("fence"))).alias(f"_f{level}_{m}") for m in FENCES]
-    )
-    groups = wide(0, ["_lang", "_source"]).join(wide(1, ["_lang"]), "_lang", "left")
-    overall = {r["m"]: r["fence"] for r in every.where("level = 2").select("m", "fence").collect()}  # one row a measure
-    enough = lambda m: F.when(F.col("_d0") >= LEAST, F.col(f"_f0_{m}")).when(F.col("_d1") >= LEAST, F.col(f"_f1_{m}")).otherwise(F.lit(overall.get(m)))
+    every = fences(cut(quantile_fences(sketch(held, "_lang", "_source")), "fences"))
+    wide = every.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("m") == m, F.col("fence"))).alias(f"_f_{m}") for m in MEASURES])
     # Written, so its size is known: Spark broadcasts it below its threshold, and else splits a hot group's rows over tasks.
-    chosen = cut(groups.select("_lang", "_source", *[enough(m).alias(f"_f_{m}") for m in FENCES]), "group-fences")
+    chosen = cut(wide, "group-fences")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    inside = None
-    for m in FENCES:
-        ok = F.col(f"m_{m}") <= F.col(f"_f_{m}")
-        inside = ok if inside is None else inside & ok
+    outside = F.lit(False)
+    for m in MEASURES:
+        outside = outside | _outside(m)
     return (
         held.join(chosen, ["_lang", "_source"], "left")
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & inside)
+        .withColumn("kept", ~F.col("base_failed") & ~outside)
         .select("_row.*", *RESULT)
     )

@@ -14,7 +14,7 @@ from .license_scan import scan_licenses
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_documents
 from .quality_model import quality_classes
-from .quality_rules import FENCES, LEAST, QUANTILES, SPREAD, quality_rules
+from .quality_rules import MEASURES, PRIOR, QUANTILES, SPREAD, Z, quality_rules
 from .syncmers import fingerprint_pairs
 from .url_rules import judge_urls
 from .warc_zstd import archive_round_trip
@@ -69,34 +69,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _quality_rules_sql() -> str:
     less = lambda chars: f"length(t) - length(translate(t, '{chars}', ''))"
-    measures = {
-        "symbols": "1000 * n_symbols // greatest(word_chars, 1)",
-        "dup_lines": "1000 * n_dup_lines // greatest(len(ls), 1)",
-        "stutter": "1000 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) // greatest(len(w), 1)",
-        "capitals": f"1000 * ({less('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}) // greatest(word_chars, 1)",
-        "marks": f"1000 * ({less('!?;:_=+/' + chr(92) + '~^@{}[]')}) // greatest(word_chars, 1)",
-        "word_len": "least(1000, 10 * word_chars // greatest(len(w), 1))",
+    counts = {
+        "_n_lines": "len(ls)",
+        "_n_stutter": "len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))",
+        "_n_capitals": less("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "_n_marks": less("!?;:_=+/" + chr(92) + "~^@{}[]"),
+        "n_words": "len(w)",
+        "word_chars": "len(array_to_string(w, ''))",
+        "n_symbols": less("#*$%&|<>"),
+        "n_dup_lines": "len(ls) - len(list_distinct(ls))",
     }
-    bounds = ", ".join(f"('{m}', {lo}, {hi})" for m, (lo, hi) in FENCES.items())
-    rows = " UNION ALL ".join(f"SELECT doc_id, l, s, '{m}' AS m, {e} AS v FROM c" for m, e in measures.items())
+    columns = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in counts.items())
+    rows = " UNION ALL ".join(f"SELECT doc_id, l, s, '{m}' AS m, {c} AS c, {n} AS n, {k} AS k FROM c" for m, (c, n, k) in MEASURES.items())
     mid, top = (f"min(v) FILTER (upto >= total * {p}::DOUBLE)" for p in QUANTILES)
+    over = "CAST(v.k * v.c - v.n * e.fence AS DOUBLE)"
     return rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, chr(0)) AS l, coalesce(source, chr(0)) AS s FROM documents),
         x AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
         g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM x)),
         r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
-        c AS (SELECT x.*, CAST(len(list_sum_text) AS BIGINT) AS word_chars, CAST({less('#*$%&|<>')} AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
-              FROM (SELECT *, array_to_string(w, '') AS list_sum_text FROM x) x LEFT JOIN r USING (doc_id)),
-        v AS ({rows}),
+        c AS (SELECT x.doc_id, l, s, {columns}, coalesce(r.n, 0) AS n_repeat_words FROM x LEFT JOIN r USING (doc_id)),
+        v AS (SELECT *, least(1000, k * c // greatest(n, 1)) AS v FROM ({rows})),
         q AS (SELECT 0 AS level, l, s, m, v FROM v UNION ALL SELECT 1, l, '', m, v FROM v UNION ALL SELECT 2, '', '', m, v FROM v),
         u AS (SELECT *, sum(n) OVER (PARTITION BY level, l, s, m ORDER BY v) AS upto, sum(n) OVER (PARTITION BY level, l, s, m) AS total FROM (SELECT level, l, s, m, v, count(*) AS n FROM q GROUP BY ALL)),
-        f AS (SELECT level, l, s, m, max(total) AS n, greatest(any_value(lo), least(any_value(hi), {top} + CAST({SPREAD} * ({top} - {mid}) AS BIGINT))) AS fence
-              FROM u JOIN (VALUES {bounds}) b(name, lo, hi) ON name = m GROUP BY level, l, s, m),
-        e AS (SELECT a.l, a.s, a.m, CASE WHEN a.n >= {LEAST} THEN a.fence WHEN b.n >= {LEAST} THEN b.fence ELSE o.fence END AS fence
+        f AS (SELECT level, l, s, m, CAST(max(total) AS BIGINT) AS n, CAST({top} + {SPREAD} * ({top} - {mid}) AS BIGINT) AS raw FROM u GROUP BY level, l, s, m),
+        e AS (SELECT a.l, a.s, a.m, (a.n * a.raw + {PRIOR} * ((b.n * b.raw + {PRIOR} * o.raw) // (b.n + {PRIOR}))) // (a.n + {PRIOR}) AS fence
               FROM f a JOIN f b ON b.level = 1 AND b.l = a.l AND b.m = a.m JOIN f o ON o.level = 2 AND o.m = a.m WHERE a.level = 0),
-        k AS (SELECT doc_id, bool_and(v.v <= e.fence) AS inside FROM v JOIN e ON e.l = v.l AND e.s = v.s AND e.m = v.m GROUP BY doc_id),
-        z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * n_repeat_words > 30 * len(w) AS base_failed FROM c)
-        SELECT z.*, NOT base_failed AND inside AS kept FROM z JOIN k USING (doc_id)"""
+        k AS (SELECT doc_id, bool_or({over} > 0 AND {over} * {over} > {Z * Z} * CAST(v.k * (v.n * e.fence + v.k) AS DOUBLE)) AS outside FROM v JOIN e ON e.l = v.l AND e.s = v.s AND e.m = v.m GROUP BY doc_id),
+        z AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+        SELECT z.*, NOT base_failed AND NOT outside AS kept FROM z JOIN k USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
