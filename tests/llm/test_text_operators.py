@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -24,7 +25,7 @@ from vaultspark.llm.packing import Packer, pack_documents
 from vaultspark.llm.quality_model import quality_classes
 from vaultspark.llm.quality_rules import MEASURES, fences, measure, quality_rules, quantile_fences, sketch
 from vaultspark.llm.queries import BYTE_BPE, WORD_BPE, queries
-from vaultspark.llm.syncmers import fingerprint_pairs
+from vaultspark.llm.syncmers import START, fingerprint_pairs
 from vaultspark.llm.word_tokens import WordTokenizer
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -387,21 +388,58 @@ def test_packer_keeps_all_limits():
         assert at == len(m)
 
 
-def test_fingerprints(spark, sf_dir, texts):
-    rows = {r.doc_id: r for r in fingerprint_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+def chained(values):
+    """Spark's xxhash64 of several numbers, as a signed one."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_anchors(text):
+    """[(place, hash)] by the definition: windows of eight units whose smallest inner pair is the first or the last."""
+    units = [START] * 7 + [chained([u]) for u in re.findall(r"[^\x20\x09-\x0D\u2E80-\U0010FFFF]{1,24}|[\u2E80-\U0010FFFF]", text)]
+    pairs = [chained(units[i : i + 2]) for i in range(len(units) - 1)]
+    return [(i, chained(units[i : i + 8]) & 0x7FFFFFFF) for i in range(len(units) - 7) if min(pairs[i : i + 7]) in (pairs[i], pairs[i + 6])]
+
+
+def brute_fingerprint(text):
+    found = brute_anchors(text)
+    return " ".join(f"{i - (found[k - 1][0] if k else 0):x}{h:08x}" for k, (i, h) in enumerate(found))
+
+
+def brute_likeness(a, b):
+    a, b = set(a.split()), set(b.split())
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_equal_brute_force(spark, sf_dir, texts):
+    rows = {r.doc_id: r for r in queries()["op9_syncmer_fingerprints"](spark, sf_dir).collect()}
     order = sorted(texts)
-    by_text = {}
     for k, after in zip(order, order[1:] + order[:1], strict=True):
         t, r = texts[k], rows[k]
         half = len(t) // 2
         edited = t[: len(t) - half] + texts[after][:half]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 and (t != texts[after] or r.near_next == 1)
+        own, changed, other = map(brute_fingerprint, (t, edited, texts[after]))
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), own, changed)
+        assert r.near_edited == pytest.approx(brute_likeness(own, changed)) and r.near_next == pytest.approx(brute_likeness(own, other))
     large = [r for k, r in rows.items() if len(texts[k]) >= 100]
     assert sum(r.near_edited > r.near_next for r in large) >= 0.98 * len(large)
 
 
+def test_fingerprints_of_any_length_and_script(spark):
+    """A short text inside a long one shares anchors with it; ideographs and unbroken texts have as many anchors as others; ties do no harm."""
+    random.seed(8)
+    word = lambda: "".join(random.choice(string.ascii_lowercase) for _ in range(6))
+    short = " ".join(word() for _ in range(40))
+    rows = [(1, " ".join([*(word() for _ in range(100)), short, *(word() for _ in range(30))])), (2, short), (3, "".join(chr(0x4E00 + random.randrange(3000)) for _ in range(200)))]
+    rows += [(4, "".join(random.choice(string.ascii_letters) for _ in range(2000))), (5, "same " * 50), (6, "one two"), (7, "  \n")]
+    found = {r.doc_id: r for r in fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[k].fingerprint == brute_fingerprint(t) for k, t in rows) and found[7].fingerprint == ""
+    assert found[1].near_next > 0.03 and all(found[k].near_edited > 0.1 for k in (1, 2, 3, 4)) and len(found[3].fingerprint.split()) > 40
+    assert 0 < found[6].near_edited < 1 and found[5].near_edited > 0
+
+
 def test_fingerprints_share_passages(spark):
     words = [f"word{i}" for i in range(400)]
     a, b = " ".join(words), " ".join(["other"] * 7 + words[100:300] + [f"x{i}" for i in range(50)])

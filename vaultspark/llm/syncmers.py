@@ -1,9 +1,11 @@
 """Document fingerprints from closed syncmers, as Spark SQL expressions.
 
-A window of K units is an anchor if the smallest hash of its inner pairs of units is the first or the last of them. Whether it is
-depends on the window alone, so two texts that share a passage share its anchors, wherever it stands and whatever is around it.
-Units are words, or characters where a text is short or has no words to speak of; texts of middling length have both, so that any
-text and a version of at least half its length have units in common.
+A text's units are its runs of other than white space, cut every 24 characters, and its ideographs one by one; the same for any length.
+K - 1 start marks come before them. A window of K units is an anchor if the smallest hash of its inner pairs of units is the first or
+the last of them. Whether it is depends on the window alone, so two texts that share a passage share its anchors, wherever it stands
+and whatever is around it. Windows that begin with two start marks always are, so the shortest text has an anchor for each unit.
+A fingerprint holds the anchors in order, each with its distance from the one before, so every anchor's place is known; two
+fingerprints are matched on anchors that follow the one before at the same distance.
 """
 
 from __future__ import annotations
@@ -13,45 +15,45 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-K, S = 8, 2  # words
-CHAR_K = 6
-WORDS_FROM, CHARS_BELOW, LONG_WORDS = 400, 1000, 24
-_NONE = "cast(array() as array<bigint>)"
+K, S, LONGEST = 8, 2, 24
+#: A number whose hash with itself is lower than all but one in a million hashes, which makes it the smallest of a window.
+START = 1714837
+_UNITS = rf"[^\\x20\\x09-\\x0D\\x{{2E80}}-\\x{{10FFFF}}]{{1,{LONGEST}}}|[\\x{{2E80}}-\\x{{10FFFF}}]"
+_HASH = 2147483647
 
 
-def _anchors(units: str, width: int, sign: str) -> str:
-    """SQL for the anchors, in order, of an array of unit hashes; a shorter one that isn't empty has one, of all its units."""
-    inner = width - S + 1
+def _anchors(units: str) -> str:
+    """SQL for the anchors, in order, of an array of unit hashes, start marks included: distance from the anchor before, then 31 bits of hash."""
+    inner = K - S + 1
     pairs = f"transform(sequence(0, size({units}) - {S}), i -> xxhash64({', '.join(f'{units}[i + {k}]' for k in range(S))}))"
     least = "least(" + ", ".join(f"p[i + {k}]" for k in range(inner)) + ")"
-    chosen = f"filter(sequence(0, size({units}) - {width}), i -> {least} = p[i] or {least} = p[i + {inner - 1}])"
-    window = f"{sign}cast(xxhash64({', '.join(f'{units}[i + {k}]' for k in range(width))}) & 2147483647 as int)"
-    # A one-element array binds the pairs' hashes for the lambda below.
-    return (
-        f"case when size({units}) = 0 then cast(array() as array<int>) when size({units}) < {width} then array({sign}cast(xxhash64({units}) & 2147483647 as int)) "
-        f"else array_distinct(flatten(transform(array({pairs}), p -> transform({chosen}, i -> {window})))) end"
-    )
+    chosen = f"filter(sequence(0, size({units}) - {K}), i -> {least} = p[i] or {least} = p[i + {inner - 1}])"
+    window = f"xxhash64({', '.join(f'{units}[i + {k}]' for k in range(K))})"
+    # One-element arrays bind the pairs' hashes and the chosen places for the lambdas below.
+    places = f"transform(array({pairs}), p -> {chosen})"
+    made = f"flatten(transform({places}, c -> transform(c, (i, j) -> shiftleft(cast(i - if(j = 0, 0, c[greatest(j - 1, 0)]) as bigint), 31) | ({window} & {_HASH}L))))"
+    return f"case when size({units}) < {K} then cast(array() as array<bigint>) else {made} end"
+
+
+def with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
+    """df with the column `to`: the text's anchors in order (array<bigint>). Without units none; null: null."""
+    out = df.withColumn("_units", F.expr(f"concat(array_repeat({START}L, {K - 1}), transform(regexp_extract_all({text}, '{_UNITS}', 0), w -> xxhash64(w)))"))
+    return out.withColumn(to, F.when(F.col(text).isNotNull(), F.expr(_anchors("_units")))).drop("_units")
 
 
-def with_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
-    """df with the column `to`: distinct anchors (array<int>), those of words in order, then, below zero, those of characters. Null: null."""
-    n = F.length(text)
-    wide = n > LONG_WORDS * F.size("_words")
-    out = df.withColumn("_words", F.expr(f"transform(filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), w -> xxhash64(w))"))
-    out = out.withColumn("_chars", F.when((n < CHARS_BELOW) | wide, F.expr(f"transform(filter(split({text}, ''), c -> c <> ''), c -> xxhash64(c))")).otherwise(F.expr(_NONE)))
-    out = out.withColumn("_words", F.when((n >= WORDS_FROM) & ~wide, F.col("_words")).otherwise(F.expr(_NONE)))
-    return out.withColumn(to, F.when(F.col(text).isNotNull(), F.concat(F.expr(_anchors("_words", K, "")), F.expr(_anchors("_chars", CHAR_K, "-1 - "))))).drop("_words", "_chars")
+def as_text(anchors: str) -> F.Column:
+    """A fingerprint as a string: for each anchor, in hexadecimal digits, its distance from the one before, then eight of hash."""
+    return F.expr(f"array_join(transform({anchors}, a -> concat(lower(hex(shiftright(a, 31))), lpad(lower(hex(a & {_HASH}L)), 8, '0'))), ' ')")
 
 
 def likeness(a: str, b: str) -> F.Column:
-    """Jaccard of two fingerprints, 0 to 1, over the kinds of units that both have; two without anchors are alike."""
-    shared = "filter({x}, v -> (v >= 0 and {y}[0] >= 0) or (v < 0 and {y}[size({y}) - 1] < 0))"
-    # Words come first and characters last, so an end of the other array tells which kinds it has.
-    own, other = shared.format(x=a, y=b), shared.format(x=b, y=a)
-    jaccard = f"transform(array(struct({own} as a, {other} as b)), p -> size(array_intersect(p.a, p.b)) / size(array_union(p.a, p.b)))[0]"
+    """Jaccard of two fingerprints, 0 to 1: anchors that both have, at the same distance from the one before; two without anchors are alike.
+
+    a, b: names of columns of anchors; split(fingerprint, ' ') does as well.
+    """
     return F.expr(
-        f"case when {a} is null or {b} is null then 0D when size({a}) = 0 and size({b}) = 0 then 1D when size({a}) = 0 or size({b}) = 0 then 0D "
-        f"when not (({a}[0] >= 0 and {b}[0] >= 0) or ({a}[size({a}) - 1] < 0 and {b}[size({b}) - 1] < 0)) then 0D else {jaccard} end"
+        f"case when {a} is null or {b} is null then 0D when size({a}) = 0 and size({b}) = 0 then 1D "
+        f"else size(array_intersect({a}, {b})) / size(array_union({a}, {b})) end"
     )
 
 
@@ -83,7 +85,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text: the last floor(n_chars / 2) characters replaced by the first as many (or all) of the next document's, by
     ascending id, the first after the last. near_*: likeness of fingerprints of the text and the edited, the next one's text.
-    Null and empty texts have empty fingerprints; two such are alike. A row with a null id has no next document: its edited
+    Texts that are null, empty or all white space have empty fingerprints; two such are alike. A row with a null id has no next document: its edited
     text ends after the first half, near_next is 0. Where rows repeat an id, each comes back, and the id's smallest text is its text
     for the document before. Other columns are not read. An empty table gives an empty result.
     """
@@ -97,20 +99,20 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     known = base.where("doc_id is not null")
     nexts = known if (seen[1] or 0) <= 1 else known.groupBy("doc_id").agg(F.min("text").alias("text"))
     wants = known.select("doc_id", F.expr("cast(floor(length(text) / 2) as int)").alias("want")).groupBy("doc_id").agg(F.max("want").alias("want")).join(after, "doc_id")
-    heads = with_fingerprint(nexts.join(wants.select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "want"), "doc_id"), "text", "next_fingerprint").select(
-        F.col("before").alias("doc_id"), F.expr("substring(text, 1, want)").alias("head"), "next_fingerprint"
+    heads = with_anchors(nexts.join(wants.select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "want"), "doc_id"), "text", "next_anchors").select(
+        F.col("before").alias("doc_id"), F.expr("substring(text, 1, want)").alias("head"), "next_anchors"
     )
-    alone = base.where("doc_id is null").withColumns({"head": F.lit(None).cast("string"), "next_fingerprint": F.lit(None).cast("array<int>")})
-    joined = with_fingerprint(known.join(heads, "doc_id").unionByName(alone), "text", "fingerprint")
+    alone = base.where("doc_id is null").withColumns({"head": F.lit(None).cast("string"), "next_anchors": F.lit(None).cast("array<bigint>")})
+    joined = with_anchors(known.join(heads, "doc_id").unionByName(alone), "text", "anchors")
     half = "cast(floor(length(text) / 2) as int)"
     edited = joined.withColumn("edited", F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(coalesce(head, ''), 1, {half}))"))
-    out = with_fingerprint(edited, "edited", "edited_fingerprint")
+    out = with_anchors(edited, "edited", "edited_anchors")
     return out.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        as_text("anchors").alias("fingerprint"),
+        as_text("edited_anchors").alias("edited_fingerprint"),
+        likeness("anchors", "edited_anchors").alias("near_edited"),
+        likeness("anchors", "next_anchors").alias("near_next"),
     )
