@@ -5,11 +5,14 @@ import html
 import io
 import random
 import re
+import time
+from collections import Counter
 
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
+from vaultspark.llm import html_text
 from vaultspark.llm.html_text import extract_text, main_text
 from vaultspark.llm.queries import oracle_sql, queries
 from vaultspark.llm.url_rules import BASE_RULES, judge_urls, rule_table
@@ -123,6 +126,70 @@ def test_forms_and_links_of_the_main_text():
     assert main_text(f"<div><p>{LONG}</p><div class='comments-area'><p>{LONG * 3}</p></div></div>") == LONG.strip()
 
 
+@pytest.mark.parametrize("names", ["content no-sidebar", "has-sidebar", "post comments-open", "entry comment-enabled", "related-to-law", "alert story", "legal", "post side"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_only_weigh_where_they_hold_the_text(tag, names):
+    assert main_text(f"<body><nav><a href=1>m</a></nav><{tag} class='{names}'><p>{LONG * 2}</p></{tag}><footer>f</footer></body>") == (LONG * 2).strip()
+
+
+TEASERS = "".join(f"<article><h2>Teaser {k}</h2><p>Short words.</p><a href={k}>more</a></article>" for k in range(3))
+SCORED = {
+    f"<body><div>{TEASERS}</div><article><h1>T</h1><p>{LONG}</p></article></body>": "T " + LONG.strip(),
+    f"<body><ul>{'<li>Menu entry, short' * 9}</ul><div><p>{LONG}</p><div><p>{LONG}</p></div></div></body>": LONG + LONG.strip(),
+    f"<body><div><a href=1>{LONG}</a></div><div><h1>T</h1><p>{LONG}</p></div></body>": "T " + LONG.strip(),
+    f"<table><tr><td><a href=1>a</a><td>{LONG}<td>x</table>": LONG.strip(),
+}
+
+
+@pytest.mark.parametrize("page", SCORED)
+def test_scores_decide(page, monkeypatch):
+    assert SCORED[page] in main_text(page) and len(main_text(page)) <= len(SCORED[page]) + 5
+    monkeypatch.setattr(html_text, "_value", lambda x: 1.0)
+    assert main_text(page) != SCORED[page]
+
+
+def test_scores_equal_brute_force():
+    """Random trees of div, section and article with paragraphs and links: each container's value by the definition, and the text of the best one."""
+    rng = random.Random(9)
+    for _ in range(60):
+        names, paragraphs = [], []  # containers: (tag, names), each paragraph: (ancestors' numbers, text, linked)
+
+        def build(depth, path, names=names, paragraphs=paragraphs):
+            out = ""
+            for _ in range(rng.randint(1, 3)):
+                if depth and rng.random() < 0.6:
+                    tag, name = rng.choice(["div", "section", "article", "main"]), rng.choice(["", "content", "wide"])
+                    names.append((tag, name))
+                    out += f"<{tag} class='{name}'>{build(depth - 1, [*path, len(names) - 1])}</{tag}>"
+                else:
+                    text = "".join(rng.choice(["word ", "and, ", "more "]) for _ in range(rng.randint(1, 60))).strip()
+                    linked = rng.random() < 0.2
+                    paragraphs.append((path, text, linked))
+                    out += f"<p>{f'<a href=x>{text}</a>' if linked else text}</p>"
+            return out
+
+        page = build(5, [])
+        points, size, links = Counter(), Counter(), Counter()
+        for path, text, linked in paragraphs:
+            worth = 0 if linked else min(len(text) / 100, 3) + text.count(",") + (1 if len(text) >= 25 else 0.1)
+            for level, x in enumerate([*path[::-1][:5]], 1):
+                points[x] += worth / level
+            for x in path:
+                size[x] += len(text)
+                links[x] += len(text) * linked
+        weight = lambda x: {"article": 1.5, "main": 1.25}.get(names[x][0], 1) * (1.25 if names[x][1] == "content" else 1)
+        want = [points[x] * weight(x) * (1 - links[x] / size[x] if size[x] else 1) for x in range(len(names))]
+        nodes = html_text.parse(page)
+        html_text._score(nodes)
+        assert [html_text._value(x) for x in nodes if x.tag in ("div", "section", "article", "main")] == pytest.approx(want)
+
+
+def test_long_and_deep_pages_take_linear_time():
+    for page in ("<div>" * 100_000 + "deep, text" + "</div>" * 100_000, '<a href="x>' * 20_000, "<p>" + "<b>" * 50_000 + "x, y" + "</i>" * 50_000, "<table><tr><td>" * 30_000):
+        began = time.process_time()
+        assert isinstance(main_text(page), str) and time.process_time() - began < 5
+
+
 def test_main_text_of_articles(pages):
     for r in pages.collect():
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]

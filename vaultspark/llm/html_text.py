@@ -1,14 +1,17 @@
 """Main text of web pages by scoring the element tree.
 
 Every block of text gives its ancestors points for its length and its commas, less the further up they are, each ancestor's total
-discounted by the share of its text that lies in links. The best container is kept, with the article or main element around it if
-there is one, else with the siblings that score well or read like text. Page furniture never enters the tree's scores or the text.
+discounted by the share of its text that lies in links. An article or main element, or a name that says so, weighs more, a name of
+page furniture less. The best container is kept: with the article or main element around it if the container is a fair part of that,
+else with the siblings that score well or read like text. Elements that are page furniture by their tag have no points and no text;
+those that are so by a name only have none either unless they hold most of the page's text, or all that would be left.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import ship
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</?([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S
+    # A quoted value with '<' in it is one up to 4096 characters: else each open quote would be sought to the page's end.
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</?([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"(?:[^\"<]*+\"|[^\"]{0,4096}+\")|'(?:[^'<]*+'|[^']{0,4096}+'))*+)>|</?([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW = {x: re.compile(rf"</{x}\b", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template")}
@@ -43,32 +47,48 @@ _FURNITURE = frozenset("head nav footer aside fieldset button select option inpu
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Parts of class names and ids that mark furniture, wherever they stand.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsby\w*|sponsor\w*|promos?|promoted|promotion\w*|banner|cookies?|consent|gdpr|notices?|notification\w*|disclaimer|copyright|legal|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar\w*|side|widget\w*|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|responses?|discussion|feedback|repl(?:y|ies)|footer|topbar|masthead|toolbar|login|search\w*|skip|toc|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsby\w*|sponsor\w*|promos?|promoted|promotion\w*|banner|cookies?|consent|gdpr|notices?|notification\w*|disclaimer|copyright|legal|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar\w*|side|widget\w*|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|remarks?|disqus|respond|responses?|discussion|feedback|repl(?:y|ies)|footer|topbar|masthead|toolbar|login|search\w*|skip|toc|hidden)(?:$|[\s_-])",
     re.I,
 )
 _HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 #: Names that say what a page has, lacks or is filed under, not what the element is.
-_MODIFIED = re.compile(r"(?<!\S)(?:\S*?[_-])?(?:has|no|not|with|without|category|tag)[_-]\S*|(?<!\S)side-by-side(?!\S)", re.I)
-_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|responses?|discussion|repl(?:y|ies))(?:$|[\s_-])", re.I)
+_MODIFIED = re.compile(r"(?<!\S)(?:\S*?[_-])?(?:has|no|not|with|without|category|tag)[_-]\S*|(?<!\S)\S+?[_-](?:open|closed|enabled|disabled|on|off|to[_-]\S+)(?!\S)|(?<!\S)side-by-side(?!\S)", re.I)
+#: Parts of names that mark main text; they only weigh.
+_GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|body|text|story|post|entry|page|h-entry|blog)(?:$|[\s_-])", re.I)
+#: What multiplies a container's points, by its tag and by its names.
+_WEIGHTS = {"article": 1.5, "main": 1.25}
+_GOOD_NAME, _FURNITURE_NAME = 1.25, 0.5
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|remarks?|disqus|respond|responses?|discussion|repl(?:y|ies))(?:$|[\s_-])", re.I)
 #: What an element is: text, furniture whatever it holds, or furniture unless more than this share of the page's unlinked text is in it.
 _TEXT, _ALWAYS, _MOST, _NEARLY_ALL = 0.0, 2.0, 0.5, 0.95
-_LINKS_ONLY, _LEAST_LINKS, _SIBLING_SHARE = 0.8, 3, 0.2
+_LINKS_ONLY, _LEAST_LINKS, _SIBLING_SHARE, _FAIR_PART = 0.8, 3, 0.2, 0.2
+#: Elements this deep are not opened: what follows them stands beside them. Every walk up the tree ends within as many steps.
+_DEEPEST = 256
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "points", "size", "linked", "links")
+    __slots__ = ("tag", "parent", "parts", "drop", "points", "size", "linked", "links", "depth", "within", "weight")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.parts: list = []
         self.points, self.size, self.linked, self.links = 0.0, 0, 0, 0
+        self.depth, self.within = (parent.depth + 1, parent.within) if parent else (0, frozenset())
+        self.weight = _WEIGHTS.get(tag, 1.0)
+        if tag in _WEIGHTS:
+            self.within |= {tag}
 
 
-def _furniture(tag: str, attributes: str, parent: Node) -> float:
+def _names(found: dict[str, str]) -> str:
+    return _MODIFIED.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", html.unescape(f"{found.get('class', '')} {found.get('id', '')}")))
+
+
+def _furniture(tag: str, attributes: str, node: Node) -> float:
+    """What the element is, by its tag and attributes; sets the node's weight by its names."""
     if tag in _FURNITURE:
         return _ALWAYS
     if tag == "header":
-        return _TEXT if _within(parent, "article") else _ALWAYS
+        return _TEXT if "article" in node.within else _ALWAYS
     least = _MOST if tag == "form" else _TEXT
     if not attributes.strip():
         return least
@@ -77,20 +97,25 @@ def _furniture(tag: str, attributes: str, parent: Node) -> float:
         return _ALWAYS
     if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return _ALWAYS
+    if "class" not in found and "id" not in found:
+        return least
+    names = _names(found)
+    header = _HEADER.search(names) and not node.within
+    furniture = header or _NAMES.search(names)
+    if _GOOD.search(names):
+        node.weight *= _GOOD_NAME
     if tag in ("html", "body", "main", "article"):
         return _TEXT
-    names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", html.unescape(f"{found.get('class', '')} {found.get('id', '')}"))
-    names = _MODIFIED.sub(" ", names)
-    header = _HEADER.search(names) and not (_within(parent, "article") or _within(parent, "main"))
-    if not header and not _NAMES.search(names):
+    if not furniture:
         return least
+    node.weight *= _FURNITURE_NAME
     # A name that is the word itself, and any name for comments, which may be longer than the article, says more than a part of a name.
     whole = any(not re.search("[_-]", x) and (_NAMES.search(x) or header and _HEADER.search(x)) for x in names.split())
     return _NEARLY_ALL if whole or _COMMENTS.search(names) else _MOST
 
 
 def _mark(nodes: list[Node], kinds: list[float]) -> None:
-    """Sets drop: furniture that does not hold the main text, and what is below it."""
+    """Sets drop: furniture that does not hold the main text, and what is below it. Names don't count if nothing were left."""
     if any(_TEXT < k < _ALWAYS for k in kinds):
         held: dict[int, int] = {}
         for x, kind in zip(reversed(nodes), reversed(kinds), strict=True):  # children before parents
@@ -98,24 +123,30 @@ def _mark(nodes: list[Node], kinds: list[float]) -> None:
                 held[id(x)] = sum(len(p.strip()) if isinstance(p, str) else held.get(id(p), 0) for p in x.parts if p is not None)
         total = held[id(nodes[0])]
         kinds = [_TEXT if k < _ALWAYS and held.get(id(x), 0) > k * total else k for x, k in zip(nodes, kinds, strict=True)]
-    for x, kind in zip(nodes, kinds, strict=True):
-        x.drop = kind > _TEXT or x.parent is not None and x.parent.drop
-
-
-def _within(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
+    for only in (_TEXT, _MOST + _NEARLY_ALL):
+        left = False
+        for x, kind in zip(nodes, kinds, strict=True):
+            x.drop = kind > only or x.parent is not None and x.parent.drop
+            left = left or not x.drop and any(isinstance(p, str) and p.strip() for p in x.parts)
+        if left:
+            break
 
 
 def parse(page: str) -> list[Node]:
     """All elements in page order; the first is the root. Text parts are decoded strings; None marks a line break."""
     root = Node("", None, False)
     nodes, kinds, open_ = [root], [_TEXT], root
+    opened: Counter[str] = Counter()  # how many elements of a tag are open
     at, n = 0, len(page)
     find = _TAG.search
+
+    def back(to: Node) -> Node:
+        x = open_
+        while x is not to:
+            opened[x.tag] -= 1
+            x = x.parent
+        return to
+
     while at < n:
         m = find(page, at)
         lo = m.start() if m else n
@@ -129,24 +160,26 @@ def parse(page: str) -> list[Node]:
             continue
         tag, attributes = tag.lower(), m[2] or m[4] or ""
         if page[lo + 1] == "/":
-            open_ = _end(open_, tag)
+            if opened[tag]:
+                open_ = back(_end(open_, tag))
             continue
         if tag == "br":
             open_.parts.append(None)
             continue
-        if tag in _CLOSES_P:
-            open_ = _shut(open_, {"p"}, {"table", "td", "th", "button", "caption"})
-        if tag in _SIBLINGS:
-            open_ = _shut(open_, *_SIBLINGS[tag])
+        if opened["p"] and tag in _CLOSES_P:
+            open_ = back(_shut(open_, {"p"}, {"table", "td", "th", "button", "caption"}))
+        if tag in _SIBLINGS and any(opened[x] for x in _SIBLINGS[tag][0]):
+            open_ = back(_shut(open_, *_SIBLINGS[tag]))
         node = Node(tag, open_, False)
         open_.parts.append(node)
         nodes.append(node)
-        kinds.append(_furniture(tag, attributes, open_))
+        kinds.append(_furniture(tag, attributes, node))
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             at = end.start() if end else n
-        if tag not in _VOID:
+        if tag not in _VOID and node.depth < _DEEPEST:
             open_ = node
+            opened[tag] += 1
     _mark(nodes, kinds)
     return nodes
 
@@ -213,15 +246,20 @@ def _block_of(node: Node) -> Node:
     return node
 
 
+#: Blocks that are not containers themselves: their points begin with the parent.
+_PARAGRAPHS = frozenset("p pre blockquote li td h1 h2 h3 h4 h5 h6 dd dt".split())
+_LEVELS = 5
+
+
 def _score(nodes: list[Node]) -> None:
     for text, at, linked in _blocks(nodes[0], lambda x: not x.drop):
         points = (min(len(text) / 100, 3) + text.count(",") + (1 if len(text) >= 25 else 0.1)) * (1 - linked / len(text))
-        container, share = at.parent if at.tag in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") and at.parent else at, 1.0
-        depth = 1
-        while container is not None and depth <= 5:
-            container.points += points * share
-            depth += 1
-            container, share = container.parent, 1 / depth
+        container = at.parent if at.tag in _PARAGRAPHS and at.parent else at
+        for level in range(1, _LEVELS + 1):
+            if container is None:
+                break
+            container.points += points / level
+            container = container.parent
         at.size += len(text)
         at.linked += linked
     for x in reversed(nodes):  # children before parents
@@ -237,34 +275,41 @@ def _density(x: Node) -> float:
     return x.linked / x.size if x.size else 0.0
 
 
+def _value(x: Node) -> float:
+    return x.points * x.weight * (1 - _density(x))
+
+
+def _around(best: Node) -> Node | None:
+    """The nearest article, else main element, that best is or is a fair part of."""
+    for tag in ("article", "main"):
+        x: Node | None = best
+        while x is not None and x.tag != tag:
+            x = x.parent
+        if x is not None and best.size - best.linked >= _FAIR_PART * (x.size - x.linked):
+            return x
+    return None
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: blocks in page order, joined by a space; empty if there is none. Markup may be broken; NUL is dropped."""
     if not page:
         return ""
     nodes = parse(page.replace("\x00", ""))
     _score(nodes)
-    value = lambda x: x.points * (1 - _density(x))
-    best = max((x for x in nodes if not x.drop), key=value)
+    best = max((x for x in nodes if not x.drop), key=_value, default=nodes[0])
     if best.points <= 0:
         return ""
-    top = best
-    x: Node | None = best
-    while x is not None and x.tag != "article":
-        x = x.parent
-    if x is None:
-        x = best
-        while x is not None and x.tag != "main":
-            x = x.parent
-    top = x or best
+    around = _around(best)
+    top = around or best
     chosen = [top]
-    if x is None and top.parent is not None and top.tag not in ("body", "html") or top.tag == "article":
-        limit = _SIBLING_SHARE * value(best)
+    if top.parent is not None and (top.tag == "article" or around is None and top.tag not in ("body", "html")):
+        limit = _SIBLING_SHARE * _value(best)
         for s in top.parent.parts:
             if isinstance(s, Node) and s is not top and not s.drop and s.size:
                 # Beside the main container of a body stands anything; inside a closer parent, more of the same text.
                 like = s.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") or top.parent.tag not in ("body", "html", "")
                 reads = like and top.tag != "article" and _density(s) < 0.25
-                if reads or value(s) >= limit and (top.tag != "article" or s.tag == "article"):
+                if reads or _value(s) >= limit and (top.tag != "article" or s.tag == "article"):
                     chosen.append(s)
     wanted = {id(c) for c in chosen}
     links = lambda x: x.tag in ("ul", "ol", "div", "section", "table", "p") and x.links >= _LEAST_LINKS and _density(x) >= _LINKS_ONLY
