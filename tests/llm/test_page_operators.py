@@ -135,7 +135,6 @@ def test_names_only_weigh_where_they_hold_the_text(tag, names):
 TEASERS = "".join(f"<article><h2>Teaser {k}</h2><p>Short words.</p><a href={k}>more</a></article>" for k in range(3))
 SCORED = {
     f"<body><div>{TEASERS}</div><article><h1>T</h1><p>{LONG}</p></article></body>": "T " + LONG.strip(),
-    f"<body><ul>{'<li>Menu entry, short' * 9}</ul><div><p>{LONG}</p><div><p>{LONG}</p></div></div></body>": LONG + LONG.strip(),
     f"<body><div><a href=1>{LONG}</a></div><div><h1>T</h1><p>{LONG}</p></div></body>": "T " + LONG.strip(),
     f"<table><tr><td><a href=1>a</a><td>{LONG}<td>x</table>": LONG.strip(),
 }
