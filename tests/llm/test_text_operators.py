@@ -270,6 +270,67 @@ def test_classifier_shrinks_small_sites(spark, sf_dir):
     assert p["poor"] < share < p["big"] and all(p["poor"] < x < share for x in ones)
 
 
+def brute_posteriors(rows, weight):
+    """(p_path, p_quality) of rows (p_text, host, path), from the definitions: each document without itself."""
+    total = sum(r[0] for r in rows) / len(rows)
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for p, h, k in rows:
+        paths[h, k].append(p)
+        hosts[h].append(p)
+
+    def strength(groups, towards):
+        n, g = sum(map(len, groups.values())), len(groups)
+        within = sum(np.var(v) * len(v) for v in groups.values()) / (n - g)
+        spread = sum(len(v) * (np.mean(v) - towards(k)) ** 2 for k, v in groups.items())
+        between = (spread - (g - 1) * within) / (n - sum(len(v) ** 2 for v in groups.values()) / n)
+        return min(max(within / between, 1.0), 1e6) if between > 0 else 1e6
+
+    kh = strength(hosts, lambda h: total)
+    kp = strength(paths, lambda k: (sum(hosts[k[0]]) + kh * total) / (len(hosts[k[0]]) + kh))
+    odds = lambda p: np.log(p / (1 - p))
+    out = []
+    for p, h, k in rows:
+        p_host = (sum(hosts[h]) - p + kh * total) / (len(hosts[h]) - 1 + kh)
+        p_path = (sum(paths[h, k]) - p + kp * p_host) / (len(paths[h, k]) - 1 + kp)
+        own = min(max(p, 1e-6), 1 - 1e-6)
+        out.append((p_path, 1 / (1 + np.exp(-(odds(own) + weight * (odds(min(max(p_path, 1e-6), 1 - 1e-6)) - odds(total)))))))
+    return out
+
+
+def sites(spark, sf_dir):
+    """Documents dealt out by their labels: a host of mostly poor ones, one of good ones, and hosts of one document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    both = docs.join(labels, "doc_id")
+    return both.selectExpr("doc_id", "text", "if(doc_id % 3 = 0, 'a', 'b') as lang", "case when doc_id % 11 = 0 then concat('one', doc_id) when quality = 0 or doc_id % 9 = 0 then 'poor' else 'good' end as source"), labels
+
+
+def test_classifier_equals_brute_force(spark, sf_dir):
+    docs, labels = sites(spark, sf_dir.replace("0.001", "0.01"))
+    rows = quality_classes(docs, labels).collect()
+    want = brute_posteriors([(r.p_text, r.source, r.lang) for r in rows], 0.5)
+    assert [(r.p_path, r.p_quality) for r in rows] == [pytest.approx(w, rel=1e-6) for w in want]
+    assert all(r.accepted == (r.p_quality >= 0.5) for r in rows)
+
+
+def test_site_evidence_decides_between_like_texts(spark, sf_dir):
+    """The same doubtful text is accepted on a good site and rejected on a poor one; on a site of its own, its text alone decides."""
+    docs, labels = sites(spark, sf_dir.replace("0.001", "0.01"))
+    symbols = lambda k: " ".join(["alpha", "beta", "gamma", "delta"] * 3 + ["word#"] * k + ["omega", "sigma"] * 5)
+    tried = [(100_000 + 10 * k + j, symbols(k), "b", host) for k in range(12) for j, host in enumerate(["good", "poor", f"own{k}"])]
+    rows = quality_classes(docs.unionByName(spark.createDataFrame(tried, "doc_id long, text string, lang string, source string")), labels).collect()
+    by = {r.doc_id: r for r in rows}
+    assert all(by[100_000 + 10 * k].p_quality > by[100_001 + 10 * k].p_quality for k in range(12))
+    plain = {r.doc_id: r for r in quality_classes(docs, labels, site_weight=0.0).collect()}
+    assert all(plain[k].accepted == (plain[k].p_text >= 0.5) for k in plain)
+    # Labels of which many are wrong leave the text's evidence weak; then the site's decides where the text's is even.
+    noisy = labels.selectExpr("doc_id", "if(doc_id % 20 < 9, 1 - quality, quality) as quality")
+    weak = quality_classes(docs, noisy).collect()
+    up, down = ([r for r in weak if r.accepted == x and (r.p_text >= 0.5) != x] for x in (True, False))
+    assert up or down
+    assert all(r.source != "poor" for r in up) and all(r.source != "good" for r in down)
+
+
 def test_classifier_of_odd_rows(odd, spark, sf_dir):
     none = spark.createDataFrame([(3, None), (None, 1)], "doc_id long, quality int")
     rows = quality_classes(odd.withColumnRenamed("kept", "accepted"), none).collect()

@@ -2,10 +2,11 @@
 
 1. Features of each text, in one row's SQL expressions.
 2. Logistic regression on a bounded sample of labelled documents gives each document the odds its text alone speaks for.
-3. Sums by path and by host, counted before anything is shuffled, give posteriors: a host's share of good documents is shrunk
-   towards the share of all, a path's towards its host's. How hard is estimated from how far hosts (paths) differ beyond chance,
-   so a site with few documents says little and a hot one speaks for itself.
-4. A document's odds are its text's times what its path's posterior adds to the share of all.
+3. Counts, sums and sums of squares of that evidence by path and by host, taken before anything is shuffled, give posteriors: a
+   host's mean is shrunk towards the mean of all, a path's towards its host's. How hard is estimated from how far hosts (paths) differ
+   beyond what the scatter of documents within them explains, so a site with few documents says little and a hot one speaks for itself.
+4. A document's odds are its text's times what its path's posterior adds to the mean of all. Its own evidence is taken out of its path's
+   and its host's sums first, so no document is its own witness.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ TRAIN_ROWS = 20_000
 RIDGE, ROUNDS, THRESHOLD, SITE_WEIGHT = 1e-3, 25, 0.5, 0.5
 FEATURES = ["symbols", "capitals", "marks", "digits", "dup_lines", "stutter", "distinct", "log_words", "word_len", "distinct_by_length", "dup_lines_any"]
 _SPACE, _UPPER, _DIGITS = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: The prior's weight where there are too few groups or documents to estimate it from.
+ALONE = 100.0
 RESULT = ["p_text", "p_path", "p_quality", "accepted"]
 
 
@@ -92,19 +95,17 @@ def train(marked: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
     return fit(sample[[f"f_{f}" for f in FEATURES]].to_numpy(float), sample["_y"].to_numpy(float))
 
 
-def _shrink(groups: DataFrame, towards: F.Column) -> tuple[F.Column, float]:
-    """A group's posterior mean, shrunk towards another share by a strength from the moments of all groups (n, s: documents, their sum)."""
+def strength(groups: DataFrame, towards: F.Column) -> float:
+    """How many documents the prior counts for: variance within groups over variance between them (n, s, q: documents, their sum and sum of squares)."""
     m = groups.agg(
-        F.sum("n"), F.sum("s"), F.count("*"),
+        F.sum("n"), F.count("*"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")),
         F.sum(F.col("n") * (F.col("s") / F.col("n") - towards) ** 2), F.sum(F.col("n") * F.col("n")),
     ).first()
-    strength = 100.0
-    if m[0] and m[2] > 1:
-        share = min(max(m[1] / m[0], 1e-6), 1 - 1e-6)
-        chance, free = share * (1 - share), m[0] - m[4] / m[0]
-        between = (m[3] - (m[2] - 1) * chance) / free if free > 0 else 0.0
-        strength = min(max(chance / between - 1, 1.0), 1e6) if between > 0 else 1e6
-    return (F.col("s") + F.lit(strength) * towards) / (F.col("n") + F.lit(strength)), strength
+    if not m[0] or m[1] < 2 or m[0] <= m[1]:
+        return ALONE
+    within, free = max(m[2], 0.0) / (m[0] - m[1]), m[0] - m[4] / m[0]
+    between = (m[3] - (m[1] - 1) * within) / free if free > 0 else 0.0
+    return min(max(within / between, 1.0), 1e6) if between > 0 else 1e6
 
 
 def quality_classes(
@@ -113,7 +114,8 @@ def quality_classes(
 ) -> DataFrame:
     """The columns `keep` of docs (all unless given) with p_text, p_path, p_quality (0 to 1) and accepted (p_quality >= threshold).
 
-    A path is a pair of host_col and path_col; nulls are a host (path) of their own. p_path enters the odds with the power site_weight.
+    A path is a pair of host_col and path_col; nulls are a host (path) of their own. p_path is the path's posterior without the document
+    itself, so for a site's only document it is the mean of all; it enters the odds with the power site_weight.
     A null text is an empty one. Labels with nulls are left out; of several for an id the largest holds; without any, all texts have even odds.
     Repeated rows count, and come back, as often as they occur. Columns of docs named like a result are replaced. An empty table gives an empty result.
     """
@@ -125,19 +127,27 @@ def quality_classes(
     for f, x in zip(FEATURES, w, strict=False):
         logit = logit + F.col(f"f_{f}") * F.lit(float(x))
     scored = marked.withColumn("p_text", 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0)))))
-    paths = cut(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("p_text").alias("s")), "paths")
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    sums = lambda *more: [F.sum(c).alias(a) for c, a in more]
+    paths = cut(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), *sums(("p_text", "s"), (F.col("p_text") * F.col("p_text"), "q"))), "paths")
+    hosts = cut(paths.groupBy("_host").agg(*sums(("n", "n"), ("s", "s"), ("q", "q"))), "hosts")
     total = hosts.agg(F.sum("n"), F.sum("s")).first()
     share = min(max(total[1] / total[0], 1e-6), 1 - 1e-6) if total[0] else 0.5
-    p_host, _ = _shrink(hosts, F.lit(share))
-    both = cut(paths.join(hosts.select("_host", p_host.alias("p_host")), "_host"), "posteriors")
-    p_path, _ = _shrink(both, F.col("p_host"))
-    known = both.select("_host", "_path", p_path.alias("p_path"))
+    k_host = strength(hosts, F.lit(share))
+    named = hosts.select("_host", F.col("n").alias("_hn"), F.col("s").alias("_hs"))
+    both = paths.join(named, "_host")
+    k_path = strength(both, (F.col("_hs") + F.lit(k_host * share)) / (F.col("_hn") + F.lit(k_host)))
+    # Written, so its size is known: Spark broadcasts it below its threshold, and else splits a hot site's rows over tasks.
+    known = cut(both.select("_host", "_path", F.col("n").alias("_pn"), F.col("s").alias("_ps"), "_hn", "_hs"), "posteriors")
+    # Without the document's own evidence; rounding may leave a sum a little below zero.
+    rest = lambda x: F.greatest(F.col(x) - F.col("p_text"), F.lit(0.0))
+    p_host = (rest("_hs") + F.lit(k_host * share)) / (F.col("_hn") - 1 + F.lit(k_host))
+    p_path = (rest("_ps") + F.lit(k_path) * p_host) / (F.col("_pn") - 1 + F.lit(k_path))
     safe = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-6)), F.lit(1e-6))
     odds = lambda c: F.log(safe(c) / (1 - safe(c)))
     total_logit = odds(F.col("p_text")) + F.lit(site_weight) * (odds(F.col("p_path")) - F.lit(float(np.log(share / (1 - share)))))
     return (
         scored.join(known, ["_host", "_path"], "left")
+        .withColumn("p_path", p_path)
         .withColumn("p_quality", 1 / (1 + F.exp(-total_logit)))
         .withColumn("accepted", F.col("p_quality") >= threshold)
         .select("_row.*", *RESULT)
