@@ -1,131 +1,53 @@
 """License scans: ordered signature rules, gated by a keyword, resolved by priority and interval containment.
 
-A text becomes its words, each written as ' word ', so a rule's regex matches whole words and a match's place in words can
-be read off the spaces before it. A rule runs only on texts that hold its keyword. Of the intervals found, one inside another
-of the same or a higher priority is suppressed; rules with phrases that must stay have the highest priority.
-Everything is a Spark SQL expression over one row; the rule table is a literal, so nothing is shuffled or joined.
+A text becomes its words. Those that are some rule's keyword are found in one pass; only there, the keyword's rules are tried, each a
+regex for the words before it and one for those after it, so the cost of the rules follows the keywords and not the texts. Of the
+intervals found, one inside another of the same or a higher priority is suppressed; rules with phrases that must stay have the highest
+priority. Everything is a Spark SQL expression over one row; the regexes are literals, compiled once, and nothing is shuffled or joined.
 """
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_row
+from .license_rules import BASE_PHRASES, LEFT, RIGHT, rule, rules
 
-#: The phrases whose places and labels every scan reports.
-BASE_PHRASES = {
-    "under the mit license": "mit",
-    "apache license version 2": "apache-2",
-    "cc by nc": "cc-by-nc",
-}
-
-#: label, names (words; a regex for a word is allowed), keyword. Versions are appended to a family's names.
-_FAMILIES = [
-    ("gpl", ["gnu general public licen[cs]e", "gnu gpl", "gpl"], ["", "1", "2", "3"]),
-    ("lgpl", ["gnu lesser general public licen[cs]e", "gnu library general public licen[cs]e", "lgpl"], ["", "2", "2 1", "3"]),
-    ("agpl", ["gnu affero general public licen[cs]e", "agpl"], ["", "3"]),
-    ("apache", ["apache licen[cs]e", "apache software licen[cs]e"], ["", "1", "1 1", "2", "2 0"]),
-    ("mit", ["mit licen[cs]e", "expat licen[cs]e", "mit x11 licen[cs]e"], [""]),
-    ("bsd", ["bsd licen[cs]e", "berkeley software distribution licen[cs]e"], [""]),
-    ("bsd-2", ["bsd 2 clause licen[cs]e", "simplified bsd licen[cs]e", "freebsd licen[cs]e"], [""]),
-    ("bsd-3", ["bsd 3 clause licen[cs]e", "new bsd licen[cs]e", "modified bsd licen[cs]e"], [""]),
-    ("mpl", ["mozilla public licen[cs]e", "mpl"], ["", "1 1", "2", "2 0"]),
-    ("epl", ["eclipse public licen[cs]e", "epl"], ["", "1 0", "2 0"]),
-    ("eupl", ["european union public licen[cs]e", "eupl"], ["", "1 1", "1 2"]),
-    ("isc", ["isc licen[cs]e"], [""]),
-    ("zlib", ["zlib licen[cs]e"], [""]),
-    ("boost", ["boost software licen[cs]e"], ["", "1 0"]),
-    ("artistic", ["artistic licen[cs]e", "perl artistic licen[cs]e"], ["", "1 0", "2 0"]),
-    ("cddl", ["common development and distribution licen[cs]e", "cddl"], ["", "1 0", "1 1"]),
-    ("osl", ["open software licen[cs]e"], ["", "3 0"]),
-    ("ofl", ["sil open font licen[cs]e", "open font licen[cs]e"], ["", "1 1"]),
-    ("gfdl", ["gnu free documentation licen[cs]e", "gfdl"], ["", "1 2", "1 3"]),
-    ("unlicense", ["the unlicense"], [""]),
-    ("wtfpl", ["wtfpl", "do what the fuck you want to public licen[cs]e"], [""]),
-    ("odbl", ["open database licen[cs]e", "odbl"], ["", "1 0"]),
-]
-_CREATIVE = ["by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd", "zero"]
-#: How a family is referred to: words before its name, words after, confidence.
-_TEMPLATES = [
-    ("(?:licensed|released|distributed|available|provided) under (?:the )?", "", 0.95),
-    ("under the terms of (?:the )?", "", 0.9),
-    ("subject to (?:the )?", "", 0.8),
-    ("", "", 0.6),
-]
-_TOP, _REFERENCE, _NAME, _WEAK = 3, 2, 1, 0
-
-
-def _words(text: str) -> str:
-    """A phrase as a regex over ' word ' texts. Groups hold whole words and end in a space."""
-    out = []
-    for part in re.findall(r"\(\?:[^)]*\)\??|[^ ()]+", text):
-        if m := re.fullmatch(r"\(\?:(.*)\)(\??)", part):
-            body = "|".join(_words(x) for x in m[1].split("|"))
-            out.append(f"(?:{body}){m[2]}")
-        else:
-            out.append(f" {part} ")
-    return "".join(out)
-
-
-def _keyword(name: str) -> str:
-    """The longest plain word of a name; a spelling class becomes its common stem."""
-    plain = [w for w in name.split() if re.fullmatch(r"[a-z0-9]+", w)]
-    return max(plain, key=len)
-
-
-def rules() -> list[dict]:
-    """Ordered rules: no, label, keyword, regex, priority, confidence, base."""
-    out: list[dict] = []
+__all__ = ["BASE_PHRASES", "rule", "rules", "scan_licenses"]
 
-    def add(label: str, keyword: str, phrase: str, priority: int, confidence: float, base: bool = False) -> None:
-        out.append({"no": len(out), "label": label, "keyword": f" {keyword} ", "regex": _words(phrase), "priority": priority, "confidence": confidence, "base": base})
-
-    for phrase, label in BASE_PHRASES.items():
-        add(label, max(phrase.split(), key=len), phrase, _TOP, 1.0, True)
-    for label, names, versions in _FAMILIES:
-        for version in sorted(versions, key=len, reverse=True):
-            full = f"{label}-{version.replace(' 0', '').replace(' ', '.')}" if version else label
-            for name in names:
-                for before, after, confidence in _TEMPLATES:
-                    if not before and " " not in name and not version:
-                        continue  # a bare acronym says too little
-                    phrase = f"{before}{' ' if before else ''}{name}{f' (?:version|v) {version}' if version else ''}{after}"
-                    add(full, _keyword(name), phrase, _REFERENCE if before else _NAME, confidence)
-                if version:
-                    add(full, _keyword(name), f"{name} {version}", _NAME, 0.6)
-        add(label, "spdx", f"spdx licen[cs]e identifier {label.replace('-', ' ')}", _REFERENCE, 0.95)
-    for kind in sorted(_CREATIVE, key=len, reverse=True):
-        label = "cc0" if kind == "zero" else "cc-" + kind.replace(" ", "-")
-        short, long = ("cc0", "creative commons zero") if kind == "zero" else (f"cc {kind}", _creative(kind))
-        for version in ("4 0", "3 0", "2 5", "2 0", ""):
-            for before, _, confidence in _TEMPLATES:
-                tail = f" {version}" if version else ""
-                add(label, short.split()[0], f"{before}{' ' if before else ''}{short}{tail}", _REFERENCE if before else _NAME, confidence)
-            add(label, "commons", f"{long}{tail}", _NAME, 0.8)
-            add(label, "commons", f"{long} licen[cs]e{tail}", _NAME, 0.8)
-    add("public-domain", "domain", "(?:dedicated|released|placed) (?:to|into|in) the public domain", _REFERENCE, 0.9)
-    add("all-rights-reserved", "reserved", "all rights reserved", _WEAK, 0.4)
-    return out
+RESULT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "kept_matches"]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_MATCH = "struct<start:int,back:int,rank:int,no:int,label:string,confidence:double,base:boolean>"
 
 
-def _creative(kind: str) -> str:
-    """The long name of a licence by its letters."""
-    parts = {"by": "attribution", "sa": "(?:sharealike|share alike)", "nd": "(?:noderivatives|no derivatives|noderivs)", "nc": "(?:noncommercial|non commercial)"}
-    return "creative commons " + " ".join(parts[x] for x in kind.split())
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-RESULT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "kept_matches"]
-_RULE_DDL = "array<struct<no:int,label:string,keyword:string,regex:string,priority:int,confidence:double,base:boolean>>"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+def _tried(no: int, r: dict) -> str:
+    """SQL for the match of a rule at keyword x in its context c, or null. Each word of a context ends in a space."""
+    tests, lo, hi = [], "x.i", "x.i + 1"
+    for side, pattern in (("l", f"(?<= |^){r['before']}$"), ("r", f"^{r['after']}")):
+        if r["before" if side == "l" else "after"]:
+            tests.append(f"rlike(c.{side}, {_quoted(pattern)})")
+            taken = f"regexp_count(regexp_extract(c.{side}, {_quoted(pattern)}, 0), ' ')"
+            lo, hi = (f"{lo} - {taken}", hi) if side == "l" else (lo, f"{hi} + {taken}")
+    fields = f"'start', {lo}, 'back', -({hi}), 'rank', {-r['priority']}, 'no', {no}, 'label', {_quoted(r['label'])}, 'confidence', {r['confidence']}D, 'base', {str(r['base']).lower()}"
+    return f"if({' and '.join(tests) or 'true'}, named_struct({fields}), null)"
 
 
-def _n_words(text: str) -> str:
-    """SQL for the number of words of a ' word ' text: each has two spaces."""
-    return f"cast((length({text}) - length(replace({text}, ' ', ''))) / 2 as int)"
+def _found(chosen: list[dict]) -> str:
+    """SQL for the array of all matches of a text, given its words and `_hit`, the keywords among them."""
+    by: dict[str, list[str]] = {}
+    for no, r in enumerate(chosen):
+        by.setdefault(r["anchor"], []).append(_tried(no, r))
+    cases = " ".join(f"when {_quoted(k)} then array({', '.join(v)})" for k, v in by.items())
+    left = f"concat_ws('', transform(slice(_words, greatest(x.i - {LEFT}, 0) + 1, least(x.i, {LEFT})), w -> concat(w, ' ')))"
+    right = f"concat_ws('', transform(slice(_words, x.i + 2, {RIGHT}), w -> concat(w, ' ')))"
+    at = "filter(transform(_words, (w, i) -> if(array_contains(_hit, w), named_struct('i', i, 'k', w), null)), x -> x is not null)"
+    return f"""case when size(_hit) = 0 then cast(array() as array<{_MATCH}>) else array_sort(filter(flatten(flatten(transform({at}, x ->
+        transform(array(named_struct('l', {left}, 'r', {right})), c -> case x.k {cases} end)))), m -> m is not null)) end"""
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", rule_list: list[dict] | None = None) -> DataFrame:
@@ -135,29 +57,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rule_list: list[dict]
     (''), null places, score 0. A word or phrase that recurs counts at every place; rules that tie on an interval go by priority,
     then by their order. Other columns pass through; columns of the same names as the results are replaced.
     """
+    chosen = rules() if rule_list is None else rule_list
     low = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), _UPPER, _LOWER)
-    body = F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")
-    trimmed = F.trim(body)
-    chosen = rule_list or rules()
-    table = F.from_json(F.lit(json.dumps(chosen)), _RULE_DDL)
-    gates = F.array(*[F.lit(k) for k in sorted({r["keyword"] for r in chosen})])
-    words = docs.select(whole_row(docs, None, RESULT).alias("_row"), F.when(trimmed == "", F.lit("")).otherwise(F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("_norm"))
-    gated = words.withColumn("_words", F.filter(gates, lambda k: F.contains(F.col("_norm"), k)))
-    found = gated.withColumn("_rules", F.when(F.size("_words") > 0, table)).withColumn(
-        "_found",
-        F.expr(
-            f"""array_sort(flatten(transform(filter(coalesce(_rules, cast(array() as {_RULE_DDL})), r -> array_contains(_words, r.keyword)), r -> aggregate(
-                  split(regexp_replace(_norm, r.regex, '\\u0001$0\\u0002'), '\\u0001'),
-                  named_struct('at', 0, 'out', cast(array() as array<struct<start:int,back:int,rank:int,no:int,label:string,confidence:double,base:boolean>>)),
-                  (acc, p) -> named_struct(
-                    'at', acc.at + {_n_words('p')},
-                    'out', if(contains(p, '\\u0002'),
-                      array_append(acc.out, named_struct('start', acc.at, 'back', -(acc.at + {_n_words("substring_index(p, '\\u0002', 1)")}),
-                        'rank', -r.priority, 'no', r.no, 'label', r.label, 'confidence', r.confidence, 'base', r.base)),
-                      acc.out)),
-                  acc -> acc.out))))"""
-        ),
-    )
+    words = docs.select(whole_row(docs, None, RESULT).alias("_row"), F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "").alias("_words"))
+    keywords = F.array(*[F.lit(k) for k in sorted({r["anchor"] for r in chosen})]) if chosen else F.expr("cast(array() as array<string>)")
+    found = words.withColumn("_hit", F.array_intersect("_words", keywords)).withColumn("_found", F.expr(_found(chosen) if chosen else f"cast(array() as array<{_MATCH}>)"))
     # In order of start, then of length: a match is inside an earlier one if some end so far, of its priority or a higher one, is not before its own.
     kept = found.withColumn(
         "_kept",
@@ -173,7 +77,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rule_list: list[dict]
     ).withColumn("_base", F.expr("filter(_found, d -> d.base)"))
     return kept.select(
         "_row.*",
-        F.expr(_n_words("_norm")).cast("long").alias("n_words"),
+        F.size("_words").cast("long").alias("n_words"),
         F.size("_base").cast("long").alias("n_base"),
         F.expr("cast(array_min(transform(_base, d -> d.start)) as long)").alias("first_word"),
         F.expr("cast(array_max(transform(_base, d -> d.start)) as long)").alias("last_word"),
