@@ -466,6 +466,31 @@ def test_packing_of_odd_rows(odd):
     assert total[1] == total[2] == 1 and total[3] == 4 and pack_documents(odd.limit(0), public_tokenizers.path(WORD_BPE)).count() == 0
 
 
+def test_packing_of_instruction_data(spark, sf_dir):
+    """Answers after the user's turns, on which no loss is taken: tokens, segments and loss each end sequences, and none is padded."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    asked = turns.where("role = 'user'").selectExpr("conv_id", "turn + 1 as turn", "text as prompt")
+    data = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"], "left").selectExpr("conv_id * 1000 + turn as doc_id", "text", "prompt")
+    more = spark.createDataFrame([(10**6 + k, "word " * (10 + 40 * (k % 9)), "ask " * (300 if k % 3 else 0)) for k in range(150)], "doc_id long, text string, prompt string")
+    data = data.union(more).repartition(1)
+    other = Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
+    given = data.collect()
+    own = {r.doc_id: [other.encode(x or "", add_special_tokens=False).ids for x in (r.prompt, r.text)] for r in given}
+    ids = {k: np.array([*a, *b, 2], "<u4") for k, (a, b) in own.items()}
+    rows = pack_documents(data, public_tokenizers.path(WORD_BPE), prompt_col="prompt", segments=12, loss=2048).collect()
+    assert len(given) == len(ids) and check_pieces(rows, ids) == 0
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append(r)
+        first = max(1, len(own[r.doc_id][0]))
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, first))
+    total = [(sum(r.length for r in v), len(v), sum(r.loss_tokens for r in v)) for v in sequences.values()]
+    assert all(n <= 4096 and k <= 12 and x <= 2048 for n, k, x in total)
+    assert any(k == 12 for _, k, _ in total)
+    count = lambda **limits: pack_documents(data, public_tokenizers.path(WORD_BPE), prompt_col="prompt", **limits).select("sequence_id").distinct().count()
+    assert count() < count(segments=12) and count() < count(loss=2048)
+
+
 def test_packer_keeps_all_limits():
     random.seed(6)
     packer = Packer(tokens=100, segments=4, loss=50, pool=16)

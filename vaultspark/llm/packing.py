@@ -132,12 +132,13 @@ class _Rows:
 
 
 def pack_documents(
-    docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", *, end: int = END, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, pool: int = POOL
+    docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", *, prompt_col: str | None = None, end: int = END, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, pool: int = POOL
 ) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
-    A document's ids are its text's by the tokenizer file at path, without special tokens, then `end`. Each id lies in one piece.
-    A sequence holds at most `tokens` ids, `segments` pieces and `loss` loss-bearing ids (all but a document's first); one that is
+    A document's ids are its text's by the tokenizer file at path, without special tokens, then `end`. Each id lies in one piece. For
+    instruction data, prompt_col names the column of the prompt, whose ids come before the text's and bear no loss. Of plain
+    documents all ids but the first bear loss. A sequence holds at most `tokens` ids, `segments` pieces and `loss` loss-bearing ids; one that is
     shorter than `tokens`, where the other limits or a task's rows end it, has a power of two as its length.
     A null or empty text has the end id only. A null id stays null; repeated rows are packed as often as they occur. Sequence ids
     depend on how the table is split into tasks, not on the run: a task that is run again gives the same rows. An empty table gives no rows.
@@ -148,11 +149,13 @@ def pack_documents(
         tokenizer, packer, rows = word_tokenizer(path), Packer(tokens, segments, loss, pool), _Rows(TaskContext.get().partitionId())
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            prompts = batch.column(2).to_pylist()
             for lo, hi in chunks(texts):
-                for doc_id, own in zip(ids[lo:hi], tokenizer.encode_batch(texts[lo:hi]), strict=True):
-                    own = np.append(own, np.uint32(end))
+                before = tokenizer.encode_batch(prompts[lo:hi]) if prompt_col else [np.zeros(0, np.uint32)] * (hi - lo)
+                for doc_id, first, own in zip(ids[lo:hi], before, tokenizer.encode_batch(texts[lo:hi]), strict=True):
+                    own = np.concatenate((first, own, np.array([end], np.uint32)))
                     mask = np.ones(len(own), bool)
-                    mask[0] = False
+                    mask[: max(1, len(first))] = False
                     rows.add(packer.add((doc_id, own, mask), mask))
                 yield rows.batch()
         rows.add(packer.finish())
@@ -160,5 +163,5 @@ def pack_documents(
         tokenizer.forget()
         pa.default_memory_pool().release_unused()
 
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, _Rows.NAMES)
+    filled = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c else F.lit("")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), filled(text_col).alias("text"), filled(prompt_col).alias("prompt")).mapInArrow(run, _Rows.NAMES)

@@ -1,9 +1,10 @@
 """URL filters by a sort-merge range join.
 
 A host is written with its labels reversed and a closing dot ('com.example.'), so a rule's host and its subdomains are an interval of
-keys. URLs and rules are dealt out by ranges of keys; a rule goes to every range that its interval meets, and URLs of a key that a
-range cannot hold are spread over several. Each range is sorted, and one sweep keeps the stack of the rules whose intervals are
-open: nested ones lie upon each other, and each entry looks up the paths of its host's rules. Of the rules that fit, the longest wins.
+keys. URLs and rules together are dealt out by ranges of keys, which Spark's range partitioning finds; URLs of a key that a range cannot
+hold are spread over several. A range also gets the rules whose intervals are open where it starts: those whose key is a prefix, label
+by label, of its first key. Each range is sorted, and one sweep keeps the stack of the rules whose intervals are open: nested ones lie
+upon each other, and each entry looks up the paths of its host's rules. Of the rules that fit, the longest wins.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut, ship
 
 #: Host, path, verdict.
 BASE_RULES = [
@@ -24,7 +25,7 @@ BASE_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-DEFAULT, SAMPLE_A_RANGE, RANGES_A_TASK, COARSE = "allow", 40, 4, 32
+DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,27 +43,6 @@ def reversed_host(host: F.Column) -> F.Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-def _ranges(keys: DataFrame, ranges: int) -> list[str]:
-    """Bounds of about even ranges from a sample of SAMPLE_A_RANGE keys a range; a frequent key is several bounds."""
-    n = keys.count()
-    if not n:
-        return []
-    share = min(1.0, SAMPLE_A_RANGE * ranges / n)
-    found = sorted(r[0] for r in (keys if share == 1.0 else keys.sample(share, 42)).collect())
-    return [found[k * len(found) // ranges] for k in range(1, ranges)] if found else []
-
-
-def _rank(bounds: list[str], key: str, also_equal: bool) -> F.Column:
-    """How many bounds are below the key (or equal to it): a look at every 32nd, then at 32 of them."""
-    if not bounds:
-        return F.lit(0)
-    sign = "<=" if also_equal else "<"
-    quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    every, some = (f"array({', '.join(map(quote, part))})" for part in (bounds, bounds[::COARSE]))
-    coarse = f"greatest(size(filter({some}, b -> b {sign} {key})) - 1, 0) * {COARSE}"
-    return F.expr(f"{coarse} + size(filter(slice({every}, {coarse} + 1, {COARSE}), b -> b {sign} {key}))")
-
-
 def _sweep(default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[tuple[str, dict, list]] = []  # prefix, path -> (length, rule, verdict), lengths of paths
@@ -121,18 +101,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "
     ship(spark)
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
     urls = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", reversed_host(F.col("host")))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _ranges(urls.select("key"), ranges or tasks * RANGES_A_TASK)
-    urls = urls.withColumns({"_lo": _rank(bounds, "key", False), "_hi": _rank(bounds, "key", True)})
-    salt = F.expr("cast(pmod(xxhash64(page_id, path), _hi - _lo + 1) as int)")
     r = (rules if rules is not None else rule_table(spark)).select("host", "path", "verdict").dropna()
     r = r.select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict").withColumn("key", reversed_host(F.col("host")))
-    # The end of a rule's interval: its key with the closing dot replaced by the next character.
-    r = r.withColumn("_end", F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/")))
-    last = F.when(F.col("key") == "", F.lit(len(bounds))).otherwise(_rank(bounds, "_end", True))
-    r = r.withColumn("part", F.explode(F.sequence(_rank(bounds, "key", False), last)))
-    cols = ["part", "key", "is_url", "page_id", "host", "path", "verdict"]
-    rows = urls.withColumns({"part": F.col("_lo") + salt, "is_url": F.lit(True), "verdict": F.lit(None).cast("string")}).select(cols).unionByName(
-        r.withColumns({"is_url": F.lit(False), "page_id": F.lit(None).cast("long")}).select(cols)
-    )
-    return rows.repartition(tasks, "part").sortWithinPartitions("part", "key", "is_url").mapInArrow(_sweep(default), "page_id long, host string, path string, rule string, verdict string")
+    cols = ["key", "is_url", "page_id", "host", "path", "verdict"]
+    rules_first = r.withColumns({"is_url": F.lit(False), "page_id": F.lit(None).cast("long"), "salt": F.lit(0).cast("long")})
+    rows = urls.withColumns({"is_url": F.lit(True), "verdict": F.lit(None).cast("string"), "salt": F.xxhash64("page_id", "path")})
+    tasks = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.select(*cols, "salt").unionByName(rules_first.select(*cols, "salt")).repartitionByRange(tasks, "key", "is_url", "salt")
+    # Written, as bounds that are sampled again would be others.
+    ranged = cut(both.select(F.spark_partition_id().alias("part"), *cols), "url-ranges")
+    starts = ranged.groupBy("part").agg(F.min("key").alias("first")).select("part", F.split(F.expr("substring(first, 1, length(first) - 1)"), r"\.").alias("labels"))
+    prefixes = F.expr("concat(array(''), transform(sequence(1, size(labels)), k -> concat(array_join(slice(labels, 1, k), '.'), '.')))")
+    open_ = starts.select("part", F.explode(prefixes).alias("key")).join(rules_first, "key").select("part", *cols)
+    every = ranged.unionByName(open_)
+    return every.repartition(tasks, "part").sortWithinPartitions("part", "key", "is_url").mapInArrow(_sweep(default), "page_id long, host string, path string, rule string, verdict string")
