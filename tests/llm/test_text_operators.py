@@ -103,6 +103,21 @@ def test_ngram_join_of_a_large_group_needs_no_pairs(spark, block):
     assert found == brute_classes(texts)
 
 
+def test_ngram_join_of_a_chain_and_of_repeated_ids(spark):
+    """A chain whose ends are far apart goes through many blocks; an id with several texts links each of them by itself."""
+    words = [f"w{i}" for i in range(400)]
+    texts = {100 - k: " ".join(words[3 * k : 3 * k + 60]) for k in range(100)}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items() for _ in range(2)], "doc_id long, text string")
+    want = brute_classes(texts)
+    found = {r.doc_id: (r.class_id, r.copy_of, r.n_links) for r in ngram_jaccard_classes(df, block=4).collect()}
+    assert found == want and len({c for c, _, _ in want.values()}) == 1
+    apart = " ".join(f"z{i}" for i in range(30))
+    rows = [(1, texts[50]), (1, apart), (2, texts[49]), (3, apart), (3, texts[48]), (4, apart + " more")]
+    for _ in range(2):
+        got = sorted((r.doc_id, r.class_id, r.copy_of, r.n_links) for r in ngram_jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == [(1, 1, 1, 1), (1, 1, 1, 2), (2, 1, 2, 2), (3, 1, 1, 1), (3, 1, 3, 2), (4, 1, 4, 1)]
+
+
 def test_ngram_join_of_odd_rows(odd):
     rows = ngram_jaccard_classes(odd).collect()
     assert len(rows) == 7 and all(r.n_links == 0 for r in rows)

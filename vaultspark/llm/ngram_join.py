@@ -1,12 +1,13 @@
-"""N-gram Jaccard join: MinHash bands propose, full n-gram sets decide.
+"""N-gram Jaccard join: MinHash banding proposes, full n-gram sets decide.
 
 1. One pass over the texts gives each a key of its word sequence and its band hashes.
-2. Documents with equal keys are one text; its smallest doc_id stands for it.
-3. Band hashes are shuffled; texts that share one are joined to the smallest text there, and the components of that graph
+2. Documents with equal keys are one text, which gets a number of its own.
+3. Band hashes are shuffled; texts that share one are joined to the first text there, and the components of that graph
    are the only places where similar texts can meet.
-4. Each component's texts go, once, to one task, or, when there are more than `block` of them, to one task for each pair of
-   blocks. There the pairs that share a band are compared on their full n-gram sets. A task returns for each text the
-   number of its links and the smallest text it hangs together with, never the pairs.
+4. Each component's texts go, once, to one task. The texts of a component of more than `block` are dealt out to blocks, those that
+   share a first neighbour together; a pair of blocks that share a band hash goes to one task, no other pair does. There the
+   pairs that share a band are compared on their full n-gram sets. A task returns for each text the number of its links and the
+   first text it hangs together with, never the pairs.
 5. Components over these give the classes.
 """
 
@@ -40,6 +41,7 @@ def _signatures(n: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), values)], ["doc_id", "key", "bands"]
             )
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -98,11 +100,11 @@ def links(grams: list[np.ndarray], sums: list[np.ndarray], side: np.ndarray | No
 
 
 def _verify(n: int, threshold: float):
-    """Rows come sorted by group (comp, gi, gj): doc_id, comp, gi, gj, block, bands, text."""
+    """Rows come sorted by group (comp, gi, gj): node, comp, gi, gj, block, bands, text, key. Rows whose text isn't the key's are passed over."""
 
     def settle(rows: list[tuple]) -> tuple[list, list, list]:
-        by_id = {r[0]: r for r in rows}  # a repeated row counts once
-        rows = [by_id[k] for k in sorted(by_id)]
+        by_node = {r[0]: r for r in rows}  # a repeated row counts once
+        rows = [by_node[k] for k in sorted(by_node)]
         across = rows[0][2] != rows[0][3]
         side = np.array([r[4] for r in rows]) if across else None
         count, first = links([r[5] for r in rows], [r[6] for r in rows], side, threshold)
@@ -118,7 +120,7 @@ def _verify(n: int, threshold: float):
                     to.extend(more)
 
         def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "n_links", "root"])
+            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "n_links", "root"])
             for x in out:
                 x.clear()
             return made
@@ -132,14 +134,39 @@ def _verify(n: int, threshold: float):
                     group, rows = at, []
                     if len(out[0]) > 20_000:
                         yield batch_of()
-                grams = S.ngrams(S.word_hashes(memoryview(raw.as_buffer())), n)
-                rows.append((ids[k], *at, block[k], grams, batch.column(5)[k].values.to_numpy()))
+                words = S.word_hashes(memoryview(raw.as_buffer()))
+                if S.sequence_key(words) == batch.column(7)[k].as_py():
+                    rows.append((ids[k], *at, block[k], S.ngrams(words, n), batch.column(5)[k].values.to_numpy()))
         flush()
         yield batch_of()
+        rows.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _placed(comps: DataFrame, edges: DataFrame, own: DataFrame, block: int) -> DataFrame:
+    """(node, comp, gi, gj, block): the tasks, named by comp, gi and gj, that each text of a component goes to."""
+    sizes = comps.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = cut(comps.join(sizes, "comp"), "ngram-members")
+    alone = members.where("blocks = 1").select("node", "comp", F.lit(0).alias("gi"), F.lit(0).alias("gj"), F.lit(0).alias("block"))
+    large = members.where("blocks > 1")
+    first = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("first"))
+    led = large.join(first, "node", "left").withColumn("first", F.coalesce("first", "node"))
+    shares = led.groupBy("comp", "first").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
+    # A neighbour that very many texts share is several.
+    dealt = cut(
+        led.join(shares, ["comp", "first"]).select("node", "comp", F.expr("cast(pmod(xxhash64(first, pmod(xxhash64(node), shares)), blocks) as int)").alias("block")), "ngram-blocks"
+    )
+    held = dealt.join(own.select("node", F.explode("bands").alias("band")), "node").groupBy("comp", "band").agg(F.collect_set("block").alias("at"))
+    pairs = (
+        held.select("comp", F.explode(F.expr("flatten(transform(at, i -> transform(filter(at, j -> i <= j), j -> named_struct('gi', i, 'gj', j))))")).alias("p"))
+        .select("comp", "p.gi", "p.gj").distinct()
+        .withColumn("block", F.explode(F.expr("if(gi = gj, array(gi), array(gi, gj))")))
+    )
+    return alone.unionByName(dealt.join(pairs, ["comp", "block"]).select("node", "comp", "gi", "gj", "block"))
+
+
 def ngram_jaccard_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
@@ -150,40 +177,35 @@ def ngram_jaccard_classes(
     different word sequences linked to it. A pair at the threshold is proposed with probability `recall`.
 
     Null and word-less texts have no n-grams: a class of their own, no links. A null doc_id stays null and links to nothing
-    unless its text is that of a document with an id. Repeated rows are repeated in the result and count as one text.
+    unless its text is that of a document with an id. Repeated rows are repeated in the result and count as one text; where an id
+    comes with several texts, each row has the class of its own text.
     Other columns of docs, whatever their names, are not read. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     number = S.choose_bands(threshold, recall, rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).cast("binary").alias("text"))
     sig = cut(texts.mapInArrow(_signatures(n, number, rows), "doc_id long, key binary, bands array<long>"), "ngram-sig")
-    reps = sig.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"))
-    own = sig.join(reps.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi")
-    band = own.select("doc_id", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "lo")
-    met = band.join(shared, "band").select(F.col("doc_id").alias("u"), F.col("lo").alias("v"))
-    comps = cut(connected_components(met, "ngram-cand"), "ngram-comp")
-    sizes = comps.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = (
-        comps.join(sizes, "comp")
-        .select(F.col("node").alias("doc_id"), "comp", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"))
-        .join(own.select("doc_id", "bands"), "doc_id")
-    )
+    known = sig.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands"))
+    # Numbered as it is written, so a text's number is the same from here on.
+    own = cut(known.withColumn("node", F.monotonically_increasing_id()), "ngram-texts")
+    band = own.select("node", F.explode("bands").alias("band"))
+    shared = band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", "lo")
+    edges = cut(band.join(shared, "band").where("node > lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct(), "ngram-cand")
+    comps = cut(connected_components(edges, "ngram-comp"), "ngram-comp")
     placed = (
-        texts.join(members, "doc_id")
-        .withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) as gi, greatest(k, block) as gj))")))
-        .select("doc_id", "comp", "pair.gi", "pair.gj", "block", "bands", "text")
+        texts.join(_placed(comps, edges, own, block).join(own.select("node", "copy_of", "key", "bands"), "node").withColumnRenamed("copy_of", "doc_id"), "doc_id")
+        .select("node", "comp", "gi", "gj", "block", "bands", "text", "key")
         .repartition("comp", "gi", "gj")
         .sortWithinPartitions("comp", "gi", "gj")
     )
-    found = cut(placed.mapInArrow(_verify(n, threshold), "doc_id long, n_links long, root long").where("n_links > 0"), "ngram-links")
+    found = cut(placed.mapInArrow(_verify(n, threshold), "node long, n_links long, root long").where("n_links > 0"), "ngram-links")
     drop_cut(comps)
-    counts = found.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
-    classes = connected_components(found.select(F.col("doc_id").alias("u"), F.col("root").alias("v")), "ngram-class")
-    by_text = (
-        reps.join(counts.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left")
-        .join(classes.select(F.col("node").alias("copy_of"), F.col("comp").alias("class_id")), "copy_of", "left")
-    )
+    drop_cut(edges)
+    counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    linked = cut(connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "ngram-class").join(own.select("node", "copy_of"), "node"), "ngram-class")
+    least = linked.groupBy("comp").agg(F.min("copy_of").alias("class_id"))
+    classes = linked.join(least, "comp").join(counts, "node").select("node", "class_id", "n_links")
+    by_text = own.select("key", "node", "copy_of").join(classes, "node", "left").drop("node")
     return sig.select("doc_id", "key").join(by_text, "key", "left").select(
         "doc_id",
         F.coalesce("class_id", "copy_of", "doc_id").alias("class_id"),
