@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from vaultspark.operators import checks
 from vaultspark.plans import ingest, lint
 from vaultspark.sources import fetch, pages, payloads
 
@@ -81,3 +82,27 @@ def test_lint(spark):
     n = {r.check: (r.n, r.n_lines) for r in out.report.collect()}
     assert n["duplicate finding"] == (1, 2) and n["orphan"] == (1, 1) and n["stale link"] == (2, 2) and n["asymmetric edge"] == (1, 1) and n["date sanity"] == (1, 1) and out.failed()
     assert triples(out.added) == [("a", "similar-to", "b"), ("b", "similar-to", "a")]
+
+
+def test_lint_of_files(spark, tmp_path):
+    """Links come from the front matter's values, however deep, and the body; a list in a list is none, though its brackets are stale links in the text."""
+    finding = "---\ntype: finding\nstatement: {0}\nslug: {1}\nsource-paper: \"[[p]]\"\nrelations:\n  similar-to: [{2}]\n---\n{3}\n"
+    for folder, stem, text in (
+        ("papers", "p", '---\ntype: paper\nslug: p\nnotes:\n  - deep: ["see [[Doe, J.|J]]"]\n---\nbody [[gone]] [[gone]]\n'),
+        ("papers", "q", "---\ntype: paper\nslug: q\ncites: [[p]]\n---\nalone\n"),
+        ("findings", "f", finding.format("one thing", "f", '"[[g]]"', "[[views/x]] [[f]]")),
+        ("findings", "g", finding.format("another", "g", "", "")),
+        ("authors", "Doe, J.", "---\ntype: author\nname: Doe, J.\n---\n"),
+        ("authors", "Roe, R.", "---\ntype: author\nname: Roe, R.\n---\n"),
+    ):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{stem}.md").write_text(text)
+    (tmp_path / "index.md").write_text("[[p]] [[nowhere]]")
+    out = lint.lint_vault(spark, str(tmp_path))
+    found = sorted((r.check, r.key, r.detail) for r in out.issues.collect() if r.check != "schema drift")
+    assert [x for x in found if x[0] == "orphan"] == [("orphan", "Roe, R.", "no links"), ("orphan", "q", "no links")]
+    assert [x for x in found if x[0] == "stale link"] == [("stale link", "index", "nowhere"), ("stale link", "p", "gone"), ("stale link", "p", "gone")]
+    assert [x for x in found if x[0] == "asymmetric edge"] == [("asymmetric edge", "f", "similar-to g")]
+    assert lint.lint_vault(spark, str(tmp_path / "none")).issues.count() == 0
+    lines = [r.line for r in checks.text_report(out.issues, out.report, lint.SECTIONS).orderBy("section", "pos").collect()]
+    assert "orphan (2):" in lines and "  - author Roe, R.  no links" in lines and lines[-1] == ""

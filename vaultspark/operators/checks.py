@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions.text import is_iso
@@ -71,3 +71,13 @@ def report(issues: DataFrame, sections: list[str]) -> DataFrame:
     """(check, n) for each section, those without issues too."""
     every = issues.sparkSession.createDataFrame([(s,) for s in sections], "check string")
     return every.join(issues.groupBy("check").agg(F.count("*").alias("n")), "check", "left").select("check", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def text_report(issues: DataFrame, counted: DataFrame, sections: list[str]) -> DataFrame:
+    """(section, pos, line), to be read in that order: for each section a heading with its number, a line for each issue, a blank one."""
+    order = issues.sparkSession.createDataFrame(list(enumerate(sections)), "section int, check string")
+    head = order.join(counted, "check").select("section", F.lit(0).cast("long").alias("pos"), F.format_string("%s (%d):", "check", "n").alias("line"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy("entity", "key", "detail"))
+    body = order.join(issues, "check").select("section", place.cast("long").alias("pos"), F.concat(F.lit("  - "), "entity", F.lit(" "), "key", F.lit("  "), "detail").alias("line"))
+    last = order.select("section", F.lit((1 << 63) - 1).alias("pos"), F.lit("").alias("line"))
+    return head.unionByName(body).unionByName(last)

@@ -55,6 +55,12 @@ def findings_of_field(findings: DataFrame, name: str | None = None) -> DataFrame
     return hit.select("name", "slug", "source_paper", "hedging", "finding_type", "extracted_date").orderBy("name", F.desc("extracted_date"), "slug")
 
 
+def findings_of_author(findings: DataFrame, papers: DataFrame, name: str | None = None) -> DataFrame:
+    """(name, slug, source_paper, hedging, finding_type, extracted_date) of the findings of papers that list an author; of one, or of all at once."""
+    by = papers_of(papers, "authors", name).select("name", F.col("slug").alias("source_paper"))
+    return findings.join(by, "source_paper").select("name", "slug", "source_paper", "hedging", "finding_type", "extracted_date").orderBy("name", F.desc("extracted_date"), "slug")
+
+
 def graph_nodes(files: DataFrame) -> DataFrame:
     """(path, group) of files that the graph shows: not views, not the index; grouped by folder."""
     group = F.lit("other")

@@ -406,8 +406,9 @@ def schema_drift(m: Model) -> DataFrame:
 
 _ORPHANS = duck("lines", "edges") + """, nodes AS (SELECT slug, 'finding' AS entity FROM lines UNION ALL SELECT DISTINCT p_type, 'field' FROM part UNION ALL SELECT r_name, 'field' FROM region),
     l AS (SELECT src AS source, dst AS target FROM edges UNION ALL SELECT r_name, r_name FROM region WHERE r_regionkey = 0),
-    k AS (SELECT source, target FROM l WHERE target IN (SELECT slug FROM nodes)),
-    o AS (SELECT 'orphan' AS "check", entity, slug AS key, 'no links' AS detail FROM nodes WHERE slug NOT IN (SELECT target FROM k) AND slug NOT IN (SELECT source FROM k))"""
+    k AS (SELECT l.source, l.target FROM l SEMI JOIN nodes ON l.target = nodes.slug),
+    w AS MATERIALIZED (SELECT target AS slug FROM k UNION SELECT source FROM k),
+    o AS (SELECT 'orphan' AS "check", entity, nodes.slug AS key, 'no links' AS detail FROM nodes ANTI JOIN w ON nodes.slug = w.slug)"""
 
 
 def _orphans(m: Model) -> DataFrame:
@@ -469,6 +470,23 @@ def lint_report(m: Model) -> DataFrame:
     return checks.report(every, ["schema drift", "orphan", "duplicate finding", "asymmetric edge", "stale link", "date sanity"])
 
 
+@query("""WITH f AS (SELECT o_orderkey AS k, 'p' || o_orderkey AS source, [o_custkey, o_orderkey % 50, o_custkey] AS n FROM orders)
+    SELECT DISTINCT source, t AS target FROM (SELECT source, unnest(['a' || n[1], 'b "' || n[2] || '"', 'c' || n[3], 'd' || (k % 9)]) AS t FROM f)""")
+def file_links(m: Model) -> DataFrame:
+    front = F.expr("""to_json(named_struct('[[no key]]', concat('see [[a', o_custkey, '|name]]'), 'deep', named_struct('list', array(concat('[[b "', o_orderkey % 50, '"#part]]'), 'x')), 'rows', array(array('plain'))))""")
+    raw = m.table("orders").select(F.concat(F.lit("p"), "o_orderkey").alias("stem"), front.alias("front"), F.expr("concat('Body\n[[c', o_custkey, ']] and [[d', o_orderkey % 9, ']], [[d', o_orderkey % 9, ']], [[]] ]]')").alias("body"))
+    return vault.file_links(raw)
+
+
+@query(f"""WITH i AS (SELECT 1 AS section, * FROM ({_ASYMMETRIC} SELECT * FROM a) UNION ALL SELECT 2, * FROM ({_DATES} SELECT * FROM d)), h(section, title) AS (VALUES (0, 'orphan'), (1, 'asymmetric edge'), (2, 'date sanity'))
+    SELECT CAST(section AS INTEGER) AS section, 0 AS pos, title || ' (' || (SELECT count(*) FROM i WHERE i.section = h.section) || '):' AS line FROM h
+    UNION ALL SELECT section, row_number() OVER (PARTITION BY section ORDER BY entity, key, detail), '  - ' || entity || ' ' || key || '  ' || detail FROM i
+    UNION ALL SELECT section, 9223372036854775807, '' FROM h""")
+def text_report(m: Model) -> DataFrame:
+    issues, sections = checks.asymmetric_edges(m.slugs, m.edges).unionByName(_dates(m)), ["orphan", "asymmetric edge", "date sanity"]
+    return checks.text_report(issues, checks.report(issues, sections), sections)
+
+
 # ---- views ----
 
 
@@ -552,6 +570,12 @@ def field_findings(m: Model) -> DataFrame:
     return views.findings_of_field(m.findings)
 
 
+@query(duck("papers", "findings") + """, a AS (SELECT DISTINCT slug AS source_paper, unnest(authors) AS name FROM papers)
+    SELECT name, slug, source_paper, hedging, finding_type, extracted_date FROM findings JOIN a USING (source_paper)""")
+def author_findings(m: Model) -> DataFrame:
+    return views.findings_of_author(m.findings, m.papers)
+
+
 @query(duck("lines", "edges") + " SELECT dst AS target, count(DISTINCT src) AS n_inlinks FROM edges GROUP BY dst")
 def inlink_counts(m: Model) -> DataFrame:
     return links.inlinks(m.edges.select(F.col("src").alias("source"), F.col("dst").alias("target")))

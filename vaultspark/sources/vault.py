@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultspark import schema
-from vaultspark.functions.text import file_sort_key, unwrap_link
+from vaultspark.functions.text import file_sort_key, links, unwrap_link
 
 try:
     import yaml
@@ -109,6 +109,35 @@ def fields(spark: SparkSession, vault: str) -> DataFrame:
     return _typed(scan(spark, vault, "fields"), schema.FIELD)
 
 
+def file_links(raw: DataFrame) -> DataFrame:
+    """(source, target): each target once that a file (stem, front as JSON, body) links to, from any text among its front matter's values, however deep, or its body.
+
+    Keys are no values, and text is text: a list in a list is not a link. Null front matter or bodies hold none.
+    """
+    # A JSON string is a value unless a colon follows it; keys match the first alternative, which keeps nothing.
+    values = F.transform(
+        F.regexp_extract_all(F.coalesce("front", F.lit("")), F.lit(r'"(?:[^"\\]|\\.)*+"\s*:|"((?:[^"\\]|\\.)*+)"'), F.lit(1)),
+        lambda v: F.get(F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), "array<string>"), F.lit(0)),
+    )
+    found = F.concat(F.flatten(F.transform(values, lambda v: links(F.coalesce(v, F.lit(""))))), links(F.coalesce("body", F.lit(""))))
+    return raw.select(F.col("stem").alias("source"), F.explode(F.array_distinct(F.transform(found, unwrap_link))).alias("target"))
+
+
+def mentions(spark: SparkSession, vault: str) -> DataFrame:
+    """(source, target): each place in a file's text, front matter as it is written included, that links; of all entities' files and the index."""
+    every = None
+    for folder in [*schema.FOLDERS, None]:
+        at = f"{vault}/{folder}" if folder else f"{vault}/index.md"
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            one = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(at).select("path", "content")
+            every = one if every is None else every.unionByName(one)
+    if every is None:
+        return spark.createDataFrame([], "source string, target string")
+    stem = F.regexp_extract("path", r"([^/]*)\.md$", 1)
+    return every.select(stem.alias("source"), F.explode(F.transform(links(F.make_valid_utf8(F.col("content").cast("string"))), unwrap_link)).alias("target"))
+
+
 class _Link(str):
     """A link; written in double quotes."""
 
