@@ -20,25 +20,42 @@ def _held(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts."""
+    """The documents that the classifier accepts, all columns as they are, whatever their names.
+
+    A null text is an empty one; a null id has no label; null sources and languages are sites of their own. Repeated rows are judged
+    alike and stay or go together; an even verdict is kept. An empty table stays empty.
+    """
     return quality_classes(_held(docs), table(spark, sf_dir, "labels"), keep=["doc"]).where("accepted").select("doc.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that keep within the rules."""
+    """The documents that keep within the rules, all columns as they are, whatever their names.
+
+    A null, empty or short text fails; null sources and languages are groups of their own. Repeated rows count, and stay or go, together;
+    what lies on a fence is inside. An empty table stays empty.
+    """
     return quality_rules(_held(docs), keep=["doc"]).where("kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that of the smallest id. A row that repeats an id and text goes too. Rows without an id stay unless their text is another's."""
-    classes = ngram_jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["_kept"]), "left_semi")
+    """One document of each class, that of the smallest id, all columns as they are.
+
+    Rows without an id stay. Rows that repeat an id and text become one; of an id with several texts, all stay if the id heads a
+    class. Null and word-less texts are each a class of their own. An empty table stays empty.
+    """
+    heads = ngram_jaccard_classes(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept"))
+    heads = heads.unionByName(spark.createDataFrame([(None,)], "_kept long"))
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_kept"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens.
+
+    A null or empty text is its end id; a null id stays null; repeated rows are packed as often as they occur; a long text is cut into
+    pieces. An empty table gives no rows.
+    """
     return pack_documents(docs, public_tokenizers.path(WORD_BPE))
 
 
