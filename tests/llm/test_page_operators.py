@@ -253,7 +253,44 @@ def test_stages_pass_on_clashing_columns(spark, sf_dir):
         assert [tuple(r) for r in out.select("kept", "accepted", "n_words", "_kept", "class_id").distinct().collect()] == [("x", "y", 7, "z", 0)]
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_near_duplicate_stage_of_repeated_rows(spark):
-    rows = [(1, "same words in here today", "en", "s", 1), (1, "same words in here today", "en", "s", 1), (2, "same words in here today", "en", "s", 1), (None, "quite another text is this", "en", "s", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) in (["1"], ["1", "None"])
+    """Null ids stay, equal rows become one, of an id with several texts all stay if it heads a class."""
+    rows = [(1, "same words in here today"), (1, "same words in here today"), (2, "same words in here today"), (None, "quite another text is this"), (None, "same words in here today"), (3, None), (3, "a b c d e f"), (4, "A, b c d e f!")]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS)
+    for _ in range(2):
+        got = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+        assert got == [("1", "same words in here today"), ("3", "None"), ("3", "a b c d e f"), ("None", "quite another text is this"), ("None", "same words in here today")]
+
+
+def test_stages_of_odd_rows(spark, sf_dir):
+    """Nulls in any column, empty and very long texts, ties and repeated rows; and no rows at all."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(10**6)) for _ in range(n)) + "."
+    long = prose(150_000)
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, prose(60), None, None, None), (None, prose(50), "en", None, 5), (5, long, "en", "s", 7), (6, prose(80), "en", "s", 1), (6, prose(80), "en", "s", 1), (7, "\n \t", "", "", 0)]
+    rows += [rows[5]] * 2
+    df = spark.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.rules(spark, df, sf_dir).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["3", "5", "6", "6", "6", "6", "None"] and {len(r.text) for r in kept} >= {len(long)}
+    accepted = corpus_pipeline.quality_classifier(spark, df, sf_dir).collect()
+    assert {tuple(r) for r in accepted} <= set(rows) and sum(r == rows[5] for r in map(tuple, accepted)) in (0, 3)
+    heads = corpus_pipeline.near_duplicates(spark, df, sf_dir).collect()
+    assert sorted(str(r.doc_id) for r in heads) == ["1", "2", "3", "5", "6", "6", "7", "None"]
+    packed = corpus_pipeline.packing(spark, df, sf_dir).collect()
+    total = Counter()
+    for r in packed:
+        total[r.doc_id] += r.length
+    assert total[1] == total[2] == total[7] == 1 and total[5] > 150_000
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), sf_dir).count() == 0
+
+
+def test_run_on_no_documents(spark, sf_dir, tmp_path):
+    import shutil
+
+    shutil.copy(f"{sf_dir}/labels.parquet", tmp_path)
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process, and it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "vaultspark-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def arrow_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """A file system and path for a URI, on an executor, where Hadoop's are out of reach; its names for S3 are understood."""
+    scheme, _, rest = uri.partition("://")
+    try:
+        return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"archives can't be written to {scheme}://: pyarrow has no file system for it; set spark.checkpoint.dir to another") from e
+
+
 def whole_row(docs: DataFrame, keep: list[str] | None, results: list[str]) -> Column:
     """The columns `keep` of docs (all unless given) but those named like a result, as one struct: inside it no name clashes with an operator's own."""
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
@@ -41,7 +54,10 @@ def whole_row(docs: DataFrame, keep: list[str] | None, results: list[str]) -> Co
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package through the shared folder, whatever their module path; once per application. Batches for Python get a bound on rows and bytes."""
+    """Give executors this package through the shared folder, whatever their module path; once per application.
+
+    Batches for Python get a bound on rows and bytes: BATCH is set for the session where it still has Spark's defaults, as plans read it when they run.
+    """
     for key, most in BATCH.items():
         if spark.conf.get(key) in DEFAULTS:
             spark.conf.set(key, most)
@@ -57,10 +73,10 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(d, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     to = f"{new_path(spark, 'package')}.zip"
-    fs, at = pafs.FileSystem.from_uri(to)
-    fs.create_dir(os.path.dirname(at), recursive=True)
-    with fs.open_output_stream(at) as out:
-        out.write(packed.getvalue())
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
     sc.addPyFile(to)
     _shipped.add(sc.applicationId)
 
@@ -93,6 +109,11 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
             _written.remove(to)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that operators have written on their way in this application. For when no result that reads them is still to run."""
+    remove(spark, written())
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove what cut() wrote for df. Only for tables that no result still reads."""
     to = getattr(df, "_cut_path", None)

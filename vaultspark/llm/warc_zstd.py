@@ -14,12 +14,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, ship
+from .common import arrow_fs, cut, new_path, ship
 
 MAGIC = 0x184D2A5D
 SAMPLE, DICTIONARY, LEVEL, LEAST_PAYLOAD = 4 << 20, 64 << 10, 6, 1000
@@ -113,7 +112,7 @@ def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = pafs.FileSystem.from_uri(folder)
+        fs, at = arrow_fs(folder)
 
         def records() -> Iterator[bytes]:
             for batch in batches:
@@ -135,7 +134,7 @@ def _write(folder: str):
 
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = arrow_fs(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 out: list[tuple] = []
@@ -173,8 +172,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     """
     ship(pages.sparkSession)
     folder = folder or new_path(pages.sparkSession, "warc")
-    fs, at = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(at, recursive=True)
+    spark = pages.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     p = p.withColumns({"size": F.length("payload").cast("long"), "digest": F.sha1("payload")})
