@@ -25,21 +25,25 @@ from .common import cut, drop_cut, ship
 from .components import connected_components
 
 THRESHOLD, N, RECALL, ROWS, BLOCK = 0.8, 5, 0.9999, 7, 128
+#: About so many n-grams at most lie in a block, unless one text has more: a bound on a task's memory.
+BLOCK_GRAMS = 1 << 18
 
 
 def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = S.multipliers(bands * rows)
         for batch in batches:
-            keys, sums = [], []
+            keys, sums, sizes = [], [], []
             for raw in batch.column(1):
                 words = S.word_hashes(memoryview(raw.as_buffer()) if raw.is_valid else b"")
                 keys.append(S.sequence_key(words))
-                sums.append(S.bands(S.ngrams(words, n), by, rows))
+                grams = S.ngrams(words, n)
+                sizes.append(len(grams))
+                sums.append(S.bands(grams, by, rows))
             at = np.cumsum([0, *map(len, sums)], dtype=np.int32)
             values = pa.array(np.concatenate(sums) if sums else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), values)], ["doc_id", "key", "bands"]
+                [batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), values), pa.array(sizes, pa.int64())], ["doc_id", "key", "bands", "size"]
             )
         pa.default_memory_pool().release_unused()
 
@@ -147,17 +151,17 @@ def _verify(n: int, threshold: float):
 
 def _placed(comps: DataFrame, edges: DataFrame, own: DataFrame, block: int) -> DataFrame:
     """(node, comp, gi, gj, block): the tasks, named by comp, gi and gj, that each text of a component goes to."""
-    sizes = comps.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = cut(comps.join(sizes, "comp"), "ngram-members")
+    blocks = lambda to: F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_GRAMS)).cast("int").alias(to)
+    sized = cut(comps.join(own.select("node", "size"), "node"), "ngram-members")
+    members = sized.join(sized.groupBy("comp").agg(blocks("blocks")), "comp")
     alone = members.where("blocks = 1").select("node", "comp", F.lit(0).alias("gi"), F.lit(0).alias("gj"), F.lit(0).alias("block"))
     large = members.where("blocks > 1")
     first = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("first"))
     led = large.join(first, "node", "left").withColumn("first", F.coalesce("first", "node"))
-    shares = led.groupBy("comp", "first").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
-    # A neighbour that very many texts share is several.
-    dealt = cut(
-        led.join(shares, ["comp", "first"]).select("node", "comp", F.expr("cast(pmod(xxhash64(first, pmod(xxhash64(node), shares)), blocks) as int)").alias("block")), "ngram-blocks"
-    )
+    shares = led.groupBy("comp", "first").agg(blocks("shares"))
+    # The texts of a neighbour that very many share go to as many blocks in a row.
+    place = F.expr("cast(pmod(pmod(xxhash64(first), blocks) + pmod(xxhash64(node), shares), blocks) as int)")
+    dealt = cut(led.join(shares, ["comp", "first"]).select("node", "comp", place.alias("block")), "ngram-blocks")
     held = dealt.join(own.select("node", F.explode("bands").alias("band")), "node").groupBy("comp", "band").agg(F.collect_set("block").alias("at"))
     pairs = (
         held.select("comp", F.explode(F.expr("flatten(transform(at, i -> transform(filter(at, j -> i <= j), j -> named_struct('gi', i, 'gj', j))))")).alias("p"))
@@ -184,8 +188,8 @@ def ngram_jaccard_classes(
     ship(docs.sparkSession)
     number = S.choose_bands(threshold, recall, rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).cast("binary").alias("text"))
-    sig = cut(texts.mapInArrow(_signatures(n, number, rows), "doc_id long, key binary, bands array<long>"), "ngram-sig")
-    known = sig.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands"))
+    sig = cut(texts.mapInArrow(_signatures(n, number, rows), "doc_id long, key binary, bands array<long>, size long"), "ngram-sig")
+    known = sig.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     # Numbered as it is written, so a text's number is the same from here on.
     own = cut(known.withColumn("node", F.monotonically_increasing_id()), "ngram-texts")
     band = own.select("node", F.explode("bands").alias("band"))
