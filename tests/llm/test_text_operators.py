@@ -417,6 +417,7 @@ def test_bpe_equals_the_library(codec, reference_encoding):
         assert ids.tolist() == reference_encoding.encode_ordinary(t) and codec.decode(ids) == t.encode()
     t = "ab" * 20000 + " " * 3000 + "x"
     assert codec.encode_batch([t, "", t])[2].tolist() == reference_encoding.encode_ordinary(t)
+    assert max(map(len, codec.cache)) <= 48
 
 
 def test_bpe_query(spark, sf_dir, texts, reference_encoding):
@@ -443,6 +444,13 @@ def test_word_tokens_equal_the_library():
     assert [x.tolist() for x in own.encode_batch(some)] == [other.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_known_words_are_bounded_by_their_size():
+    own, other = WordTokenizer(public_tokenizers.path(WORD_BPE)), Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
+    for k in range(12):
+        t = chr(97 + k) * 1_500_000 + " end"
+        assert own.encode_batch([t])[0].tolist() == other.encode(t, add_special_tokens=False).ids and own.chars < 20_000_000
+
+
 def check_pieces(rows, ids):
     by, sequences = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import ship
 from .latin import SAFE, splitter
 
-CACHE, CHUNK = 400_000, 4_000_000
+#: Pieces that are remembered, none longer than KEPT_CHARS, which bounds the memory too.
+CACHE, KEPT_CHARS, CHUNK = 400_000, 48, 4_000_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -121,9 +122,10 @@ class Codec:
             raw = piece.encode()
             whole = self.lookup(raw)
             found = np.array([whole] if whole >= 0 else self.merge(raw), np.uint32)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[piece] = found
+            if len(piece) <= KEPT_CHARS:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[piece] = found
         return found
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:

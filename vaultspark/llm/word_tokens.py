@@ -18,7 +18,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .latin import SAFE, splitter
 
-CACHE, CHUNK = 300_000, 4_000_000
+#: Words that are remembered, and their characters, which bounds the memory too.
+CACHE, CACHE_CHARS, CHUNK = 300_000, 16_000_000, 4_000_000
 _END = "</w>"
 
 
@@ -57,7 +58,7 @@ class WordTokenizer:
 
     def forget(self) -> None:
         """Drop the known words; at a task's end, so that an idle worker holds little."""
-        self.known = _Index()  # word -> its place in start and size
+        self.known, self.chars = _Index(), 0  # word -> its place in start and size; characters of them all
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -67,6 +68,7 @@ class WordTokenizer:
     def _learn(self) -> None:
         """Ids of the words that wait, which are the last in the index."""
         words, k = self.known.new, len(self.known) - len(self.known.new)
+        self.chars += sum(map(len, words))
         while len(self.known) > len(self.start):
             self.start, self.size = np.append(self.start, self.start), np.append(self.size, self.size)
         for at in range(0, len(words), 4096):
@@ -97,7 +99,7 @@ class WordTokenizer:
             who.append(k)
         if not who:
             return out
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.chars > CACHE_CHARS:
             self.forget()
         coded = pa.array(words, pa.large_string()).dictionary_encode()
         del words
