@@ -40,6 +40,21 @@ def test_title_rule(spark):
     assert found(cite.by_title(probe, p)) == [(0, "just"), (0, "long")]
 
 
+def test_titles_of_few_words_equal_containment(spark):
+    """Titles of any number of words, also inside longer words, are found by equi-joins alone."""
+    random.seed(13)
+    word = lambda: "".join(random.choice("abc") for _ in range(random.randint(1, 12)))
+    names = [" ".join(word() for _ in range(random.randint(1, 7))) + random.choice(["", "aaaaaaaaaaaaaaaaaaaaaaaa", " bcbcbcbcbcbcbcbcbcbcbcb"]) for _ in range(120)]
+    texts = ["References\n" + " ".join(word() for _ in range(5)) + random.choice([" ", "x"]) + " ".join(random.sample(names, 4)) + random.choice(["y z", "", " end"]) for _ in range(60)]
+    papers = spark.createDataFrame([(f"p{k}", t) for k, t in enumerate(names)], "slug string, title string")
+    probe = cite.probes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    held = {r.doc_id: r.bib_norm for r in probe.collect()}
+    found = cite.by_title(probe, papers)
+    want = {(d, f"p{k}") for d, t in held.items() for k, n in enumerate(names) if len(n) >= 20 and n in t}
+    assert {(r.doc_id, r.slug) for r in found.collect()} == want and len(want) > 100
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_surname_rule(spark):
     p = papers(spark, ("a", "t", ["Smith, J."], None, None, "2017-01-01", None), ("h", "t", ["O'Neil-Ray, J."], None, None, "2017-01-01", None), ("far", "t", ["Jones, K."], None, None, "2018", None))
     text = "smithson et al 2017. O'Neil-Ray 2017. jones " + "x " * 40 + "2018"
