@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,14 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "vaultspark-shared")
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    # With its scheme: without one, Hadoop and pyarrow may take a path for one on different file systems.
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", whole)
 
 
 def arrow_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """A file system and path for a URI, on an executor, where Hadoop's are out of reach; its names for S3 are understood."""
-    scheme, _, rest = uri.partition("://")
+    scheme, found, rest = uri.partition("://")
     try:
-        return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+        return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}" if found else uri)
     except (pa.ArrowInvalid, OSError) as e:
         raise ValueError(f"archives can't be written to {scheme}://: pyarrow has no file system for it; set spark.checkpoint.dir to another") from e
 
