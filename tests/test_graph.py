@@ -2,7 +2,6 @@
 
 import pytest
 
-from vaultspark.llm.components import connected_components
 from vaultspark.operators import checks, links, neardup, views
 
 FINDINGS = [("f1", "p1"), ("f2", "p2"), ("f3", "p1"), ("f4", None)]
@@ -128,5 +127,3 @@ def test_unsettled_components_raise(spark):
     assert {r.block for r in neardup.components(chain).collect()} == {"000"}
     with pytest.raises(RuntimeError, match="settled"):
         neardup.components(chain, rounds=2)
-    with pytest.raises(RuntimeError, match="settled"):
-        connected_components(chain.selectExpr("cast(a as long) as u", "cast(b as long) as v"), max_rounds=2)
