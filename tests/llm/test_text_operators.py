@@ -149,6 +149,13 @@ def test_components(spark):
     assert {r.node: r.comp for r in found} == {x: find(x) for x in parent if x not in lonely}
 
 
+def test_unsettled_components_raise(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    assert {r.comp for r in connected_components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError, match="settled"):
+        connected_components(chain, max_rounds=2)
+
+
 def test_license_base_equals_brute_force(docs, texts):
     for r in queries()["op2_license_scan"](docs.sparkSession, "/root/testdata/sf0.001").collect():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r.doc_id].translate(LOW))
