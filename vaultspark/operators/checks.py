@@ -73,6 +73,11 @@ def report(issues: DataFrame, sections: list[str]) -> DataFrame:
     return every.join(issues.groupBy("check").agg(F.count("*").alias("n")), "check", "left").select("check", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def failed(issues: DataFrame) -> DataFrame:
+    """(failed): whether there is any issue, a row in any case."""
+    return issues.limit(1).agg((F.count("*") > 0).alias("failed"))
+
+
 def text_report(issues: DataFrame, counted: DataFrame, sections: list[str]) -> DataFrame:
     """(section, pos, line), to be read in that order: for each section a heading with its number, a line for each issue, a blank one."""
     order = issues.sparkSession.createDataFrame(list(enumerate(sections)), "section int, check string")

@@ -11,7 +11,7 @@ from vaultspark.functions import text as X
 from vaultspark.operators import checks, cite, links, neardup, upserts, views
 from vaultspark.plans import ingest
 from vaultspark.plans.model import AS_OF, Model, duck
-from vaultspark.schema import EDGE_TYPES
+from vaultspark.schema import EDGE_TYPES, PAPER
 from vaultspark.sources import pages as paged
 from vaultspark.sources import payloads, vault
 from vaultspark.sources.classify import classify, to_fetch
@@ -487,6 +487,51 @@ def text_report(m: Model) -> DataFrame:
     return checks.text_report(issues, checks.report(issues, sections), sections)
 
 
+@query(f"""SELECT (SELECT count(*) FROM ({_DATES} SELECT * FROM d)) > 0 AS failed""")
+def lint_exit(m: Model) -> DataFrame:
+    """Whether a lint ends with an error."""
+    return checks.failed(_dates(m))
+
+
+# ---- files and payloads ----
+
+
+@query(duck("papers") + f""" SELECT slug, title, {_list('authors')} AS authors, {_list('fields')} AS fields, publication_date, doi, overall, 'x|' || slug AS cites, 'see [[' || slug || ']]' || chr(10) AS body FROM papers""")
+def vault_round_trip(m: Model) -> DataFrame:
+    """Papers written as Markdown files with front matter and read back as typed rows."""
+    front = F.to_json(F.struct(
+        F.lit("paper").alias("type"), "title", "slug", F.transform("authors", X.wrap_link).alias("authors"), "fields", F.col("publication_date").alias("publication-date"), "doi",
+        F.struct("credibility", F.col("rigor").alias("experimental-rigor"), "reproducibility", "overall").alias("quality"),
+        F.struct(F.array(F.lit("[[x]]"), X.wrap_link(F.col("slug"))).alias("cites")).alias("relations"),
+    ))
+    rows = m.papers.select(F.col("slug").alias("stem"), front.alias("front"), F.concat(F.lit("see [["), "slug", F.lit("]]\n")).alias("body"))
+    back = vault.typed(vault.parse_files(vault.as_files(rows)), PAPER)
+    return back.select("slug", "title", joined("authors").alias("authors"), joined("fields").alias("fields"), "publication_date", "doi", F.col("quality.overall").alias("overall"), joined("relations.cites").alias("cites"), "body")
+
+
+@query("""SELECT 'p' || l_orderkey AS source_paper, i AS pos, 'shipped as ' || l_returnflag || ' "' || i || '"' AS statement, CASE WHEN i = 0 THEN 'line ' || l_linenumber END AS source_ref, 'asserted' AS hedging
+    FROM (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(unnest(range(l_linenumber % 3)) AS INTEGER) AS i FROM lineitem)""")
+def findings_payload(m: Model) -> DataFrame:
+    """Payloads as JSON texts, a row for each of their findings; a payload without findings has none."""
+    one = "named_struct('statement', concat('shipped as ', l_returnflag, ' \"', i, '\"'), 'source-ref', if(i = 0, concat('line ', l_linenumber), null), 'hedging', 'asserted')"
+    listed = f"if(l_linenumber % 3 = 0, array(), transform(sequence(0, greatest(l_linenumber % 3 - 1, 0)), i -> {one}))"
+    text = F.to_json(F.struct(F.concat(F.lit("p"), "l_orderkey").alias("source_paper"), F.expr(listed).alias("findings")))
+    return payloads.finding_payload(payloads.from_text(m.table("lineitem").select(text.alias("value")), "findings")).select("source_paper", "pos", "statement", "source_ref", "hedging")
+
+
+@query(f"""SELECT CAST(page_id AS VARCHAR) AS path, t AS full_text, substr(t, 1, 6000) AS meta_text, 0 AS page_count FROM (SELECT page_id, {_compact(_strip_html('html'))} AS t FROM pages) WHERE page_id % 5 <> 0""")
+def html_text_source(m: Model) -> DataFrame:
+    """Downloads as bytes: those that are PDF are no HTML source."""
+    content = F.expr("cast(if(page_id % 5 = 0, concat('%PDF-1.7 ', html), html) as binary)")
+    return paged.html_source(m.table("pages").select(F.col("page_id").cast("string").alias("path"), content.alias("content"))).select("path", "full_text", "meta_text", "page_count")
+
+
+@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS slug, CAST(NULL AS VARCHAR) AS rule FROM documents WHERE false")
+def cite_without_papers(m: Model) -> DataFrame:
+    """A vault without papers has no citations to find."""
+    return cite.cascade(m.cited, m.papers.limit(0), fuzzy=False)
+
+
 # ---- views ----
 
 

@@ -55,8 +55,12 @@ def scan(spark: SparkSession, vault: str, folder: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{vault}/{folder}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], RAW)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(f"{vault}/{folder}").select("path", "content")
-    return files.mapInPandas(_read, RAW)
+    return parse_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(f"{vault}/{folder}"))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """(stem, front as JSON, body, sort_key) of Markdown files (path, content)."""
+    return files.select("path", "content").mapInPandas(_read, RAW)
 
 
 def _as_text(kind: T.DataType) -> T.DataType:
@@ -66,7 +70,7 @@ def _as_text(kind: T.DataType) -> T.DataType:
     return kind if isinstance(kind, T.ArrayType) else T.StringType()
 
 
-def _typed(raw: DataFrame, ddl: str) -> DataFrame:
+def typed(raw: DataFrame, ddl: str) -> DataFrame:
     """Front matter as typed columns; hyphens in keys become underscores; links in lists are unwrapped."""
     want = T._parse_datatype_string(ddl)
     made = {"body", "sort_key", "raw_keys"}
@@ -94,19 +98,19 @@ def _typed(raw: DataFrame, ddl: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, vault: str) -> DataFrame:
-    return _typed(scan(spark, vault, "papers"), schema.PAPER)
+    return typed(scan(spark, vault, "papers"), schema.PAPER)
 
 
 def findings(spark: SparkSession, vault: str) -> DataFrame:
-    return _typed(scan(spark, vault, "findings"), schema.FINDING)
+    return typed(scan(spark, vault, "findings"), schema.FINDING)
 
 
 def authors(spark: SparkSession, vault: str) -> DataFrame:
-    return _typed(scan(spark, vault, "authors"), schema.AUTHOR)
+    return typed(scan(spark, vault, "authors"), schema.AUTHOR)
 
 
 def fields(spark: SparkSession, vault: str) -> DataFrame:
-    return _typed(scan(spark, vault, "fields"), schema.FIELD)
+    return typed(scan(spark, vault, "fields"), schema.FIELD)
 
 
 def file_links(raw: DataFrame) -> DataFrame:
@@ -160,6 +164,20 @@ def dump_front(front: dict) -> str:
     return yaml.dump(mark(front), Dumper=Dumper, sort_keys=False, allow_unicode=True, default_flow_style=False)
 
 
+def _text(front: str, body: str) -> str:
+    return f"---\n{dump_front(json.loads(front))}---\n{body}"
+
+
+def as_files(rows: DataFrame) -> DataFrame:
+    """Rows (stem, front as JSON, body) as Markdown files (path, content), which parse_files reads back."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["stem"] + ".md", "content": [_text(a, b).encode() for a, b in zip(f["front"], f["body"], strict=True)]})
+
+    return rows.select("stem", "front", "body").mapInPandas(run, "path string, content binary")
+
+
 def write_files(rows: DataFrame, vault: str, folder: str) -> int:
     """Write rows (stem, front as JSON, body) as files of a vault on a file system that Spark's executors share. Returns how many."""
 
@@ -170,7 +188,7 @@ def write_files(rows: DataFrame, vault: str, folder: str) -> int:
         for f in frames:
             for stem, front, body in zip(f["stem"], f["front"], f["body"], strict=True):
                 with fs.open_output_stream(f"{at}/{folder}/{stem}.md") as out:
-                    out.write(f"---\n{dump_front(json.loads(front))}---\n{body}".encode())
+                    out.write(_text(front, body).encode())
             yield pd.DataFrame({"n": [len(f)]})
 
     import pyarrow.fs as pafs
