@@ -51,6 +51,15 @@ def arrow_fs(uri: str) -> tuple[pafs.FileSystem, str]:
         raise ValueError(f"archives can't be written to {scheme}://: pyarrow has no file system for it; set spark.checkpoint.dir to another") from e
 
 
+#: Characters that the quality operators count, as classes of a pattern.
+SYMBOLS, MARKS, CAPITALS, DIGITS, SPACE = r"[#*$%&|<>]", r"[!?;:_=+/\\~^@{}\[\]]", "[A-Z]", "[0-9]", r"[ \t\n\x0B\f\r]+"
+
+
+def held(text: str, chars: str) -> Column:
+    """How many characters of the text are of a class."""
+    return F.length(text) - F.length(F.regexp_replace(text, chars, ""))
+
+
 def whole_row(docs: DataFrame, keep: list[str] | None, results: list[str]) -> Column:
     """The columns `keep` of docs (all unless given) but those named like a result, as one struct: inside it no name clashes with an operator's own."""
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]

@@ -15,13 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_row
+from .common import CAPITALS, DIGITS, MARKS, SPACE, SYMBOLS, cut, held, whole_row
 
 #: About so many labelled documents at most are gathered to fit the classifier: a bound on the driver's memory, not on what is scored.
 TRAIN_ROWS = 20_000
 RIDGE, ROUNDS, THRESHOLD, SITE_WEIGHT = 1e-3, 25, 0.5, 0.5
 FEATURES = ["symbols", "capitals", "marks", "digits", "dup_lines", "stutter", "distinct", "log_words", "word_len", "distinct_by_length", "dup_lines_any"]
-_SPACE, _UPPER, _DIGITS = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: The prior's weight where there are too few groups or documents to estimate it from.
 ALONE = 100.0
 RESULT = ["p_text", "p_path", "p_quality", "accepted"]
@@ -29,22 +28,21 @@ RESULT = ["p_text", "p_path", "p_quality", "accepted"]
 
 def featured(docs: DataFrame, text: F.Column, keep: dict[str, F.Column]) -> DataFrame:
     """The columns `keep` and the features `f_*`, each finite and of the order of 1."""
-    less = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
     d = docs.select(*[c.alias(n) for n, c in keep.items()], F.coalesce(text.cast("string"), F.lit("")).alias("_t"))
     d = d.withColumn("_w", F.expr(r"transform(filter(split(_t, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w))"))
     d = d.withColumn("_l", F.expr(r"filter(split(_t, '\n'), x -> rlike(x, '[^\\x20\\x09-\\x0D]'))"))
     d = d.select(
         *keep,
         F.size("_w").alias("_n"),
-        F.greatest(F.length(F.translate("_t", _SPACE, "")), F.lit(1)).alias("_c"),
+        F.greatest(F.length(F.regexp_replace("_t", SPACE, "")), F.lit(1)).alias("_c"),
         F.size(F.array_distinct("_w")).alias("_d"),
         F.expr("size(filter(_w, (x, k) -> k > 0 and x = _w[greatest(k - 1, 0)]))").alias("_s"),
         F.size("_l").alias("_nl"),
         F.size(F.array_distinct("_l")).alias("_dl"),
-        less("#*$%&|<>").alias("_sym"),
-        less(_UPPER).alias("_cap"),
-        less("!?;:_=+/\\~^@{}[]").alias("_mark"),
-        less(_DIGITS).alias("_dig"),
+        held("_t", SYMBOLS).alias("_sym"),
+        held("_t", CAPITALS).alias("_cap"),
+        held("_t", MARKS).alias("_mark"),
+        held("_t", DIGITS).alias("_dig"),
     )
     words = F.greatest("_n", F.lit(1))
     by = {

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole_row
+from .common import CAPITALS, MARKS, SPACE, SYMBOLS, cut, held, whole_row
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 #: Measure: its count, among so many trials, a rate for so many of them.
@@ -28,35 +28,30 @@ MEASURES = {
     "word_len": ("word_chars", "n_words", 10),
 }
 QUANTILES, SPREAD, PRIOR, Z = (0.5, 0.75), 3, 100, 4
-_SPACE = " \t\n\x0b\x0c\r"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
-def _less(text: str, chars: str) -> F.Column:
-    return F.length(text) - F.length(F.translate(F.col(text), chars, ""))
-
-
 def measure(docs: DataFrame, text: F.Column, keep: dict[str, F.Column]) -> DataFrame:
     """The columns `keep` with the counts and the rates `m_*`. Words are runs of other than space and U+0009-U+000D."""
     d = docs.select(*[c.alias(n) for n, c in keep.items()], F.coalesce(text.cast("string"), F.lit("")).alias("_t"))
     d = d.withColumn("_w", F.expr(r"transform(filter(split(_t, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w))"))
     d = d.withColumn("_lines", F.expr(r"filter(split(_t, '\n'), x -> rlike(x, '[^\\x20\\x09-\\x0D]'))"))
-    # A window's hash and place; equal hashes meet in sort order.
+    # Few texts have a window twice; only these sort hashes and places, where equal hashes meet.
     eight = ", ".join(f"_w[i + {k}]" for k in range(WINDOW))
-    d = d.withColumn("_g", F.expr(f"if(size(_w) > {WINDOW}, sort_array(transform(sequence(0, size(_w) - {WINDOW}), i -> named_struct('h', xxhash64({eight}), 'i', i))), null)"))
+    d = d.withColumn("_h", F.expr(f"if(size(_w) > {WINDOW}, transform(sequence(0, size(_w) - {WINDOW}), i -> xxhash64({eight})), cast(array() as array<bigint>))"))
+    d = d.withColumn("_g", F.expr("if(size(array_distinct(_h)) < size(_h), sort_array(transform(_h, (h, i) -> named_struct('h', h, 'i', i))), null)"))
     d = d.withColumn("_n", F.expr("size(_g)"))
     d = d.withColumn("_at", F.expr("sort_array(transform(filter(_g, (x, k) -> (k > 0 and _g[greatest(k - 1, 0)].h = x.h) or (k < _n - 1 and _g[least(k + 1, _n - 1)].h = x.h)), x -> x.i))"))
     repeat = F.expr(f"coalesce(aggregate(_at, named_struct('to', 0, 'n', 0L), (acc, i) -> named_struct('to', i + {WINDOW}, 'n', acc.n + (i + {WINDOW} - greatest(i, acc.to))), acc -> acc.n), 0L)")
     d = d.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate(F.col("_t"), _SPACE, "")).cast("long").alias("word_chars"),
-        _less("_t", "#*$%&|<>").cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("_t", SPACE, "")).cast("long").alias("word_chars"),
+        held("_t", SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("_n_lines"),
-        _less("_t", _UPPER).cast("long").alias("_n_capitals"),
-        _less("_t", "!?;:_=+/\\~^@{}[]").cast("long").alias("_n_marks"),
+        held("_t", CAPITALS).cast("long").alias("_n_capitals"),
+        held("_t", MARKS).cast("long").alias("_n_marks"),
         F.expr("size(filter(_w, (x, k) -> k > 0 and x = _w[greatest(k - 1, 0)]))").cast("long").alias("_n_stutter"),
         repeat.alias("n_repeat_words"),
     )
@@ -110,8 +105,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     row = whole_row(docs, keep, RESULT)
     lang, source = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in (lang_col, source_col))
-    held = cut(measure(docs, F.col(f"`{text_col}`"), {"_row": row, "_lang": lang, "_source": source}), "quality")
-    every = fences(cut(quantile_fences(sketch(held, "_lang", "_source")), "fences"))
+    marked = cut(measure(docs, F.col(f"`{text_col}`"), {"_row": row, "_lang": lang, "_source": source}), "quality")
+    every = fences(cut(quantile_fences(sketch(marked, "_lang", "_source")), "fences"))
     wide = every.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("m") == m, F.col("fence"))).alias(f"_f_{m}") for m in MEASURES])
     # Written, so its size is known: Spark broadcasts it below its threshold, and else splits a hot group's rows over tasks.
     chosen = cut(wide, "group-fences")
@@ -120,7 +115,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     for m in MEASURES:
         outside = outside | _outside(m)
     return (
-        held.join(chosen, ["_lang", "_source"], "left")
+        marked.join(chosen, ["_lang", "_source"], "left")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & ~outside)
         .select("_row.*", *RESULT)
