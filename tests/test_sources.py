@@ -1,5 +1,7 @@
 """Vault files and paged documents."""
 
+import pytest
+
 from vaultspark.sources import pages as P
 from vaultspark.sources import vault as V
 
@@ -81,3 +83,27 @@ def test_short_and_empty_documents(spark):
 def test_html_source(spark):
     files = spark.createDataFrame([("a", b"%PDF-1.4"), ("b", b"<p>x [1]  y\xff</p>")], "path string, content binary")
     assert [(r.path, r.full_text) for r in P.html_source(files).collect()] == [("b", "x y�")]
+
+
+def test_front_matter_is_that_of_plain_yaml_and_spread_over_tasks(spark):
+    class Plain(V.yaml.SafeLoader):
+        yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t == "tag:yaml.org,2002:null"] for k, v in V.yaml.SafeLoader.yaml_implicit_resolvers.items()}
+
+    odd = ["plain", "null", "", "1-URGENT: it's #1", "a" * 90, "word " * 30, "😀 é\x85", "tab\tand\rmore", "[x", "'q' \"d\"", "- a", None, True, 1.5]
+    for x in odd:
+        front = {"title": x, "fields": [x, "b"], "quality": {"overall": x}}
+        text = V.dump_front(front)
+        assert text == V.yaml.safe_dump(front, sort_keys=False, allow_unicode=True, default_flow_style=False)
+        assert V.parse_front(f"---\n{text}---\nbody") == (V.yaml.load(text, Plain), "body")
+    for text in ("k: ! x", "k: |#", "k: a\t b", "k: é\n"):
+        try:
+            want = V.yaml.load(text, Plain) or {}
+        except V.yaml.YAMLError:
+            with pytest.raises(V.yaml.YAMLError):
+                V.parse_front(f"---\n{text}\n---\n")
+        else:
+            assert V.parse_front(f"---\n{text}\n---\n")[0] == want
+    if V.yaml.__with_libyaml__:
+        assert issubclass(V._Plain, V.yaml.CSafeLoader)
+    files = V.as_files(spark.range(300).coalesce(1).selectExpr("cast(id as string) stem", "'{}' front", "'b' body"))
+    assert files.rdd.getNumPartitions() >= 64
