@@ -4,6 +4,7 @@ import datetime
 import difflib
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -63,6 +64,22 @@ def test_surname_rule(spark):
     assert found(cite.by_surname_year(cite.probes(docs(spark, "li 2019", "believe 120195", "li 2018")), li)) == [(0, "li"), (1, "li")]
 
 
+def test_surnames_of_one_beginning(spark):
+    """Surnames that begin alike don't all meet each text: what is joined grows with the texts, not with texts times surnames."""
+    names = [f"cust{k}" for k in range(400)] + ["li", "é😀x", "x" * 90, "y" * 76]
+    p = papers(spark, *[(f"p{k}{y}", "t", [f"{n.title()}, A."], None, None, f"{y}-01-01", None) for k, n in enumerate(names) for y in (1995, 1996)])
+    texts = [f"a{n} et al {'z' * gap} {y}" for n in (*names[::7], *names[-4:]) for gap in (0, 60, 70, 75) for y in (1995, 11996)] + [f"{n}{y}" for n in names[-5:] for y in (1995, 2001)] + ["1995", "", "199"]
+    probe = cite.probes(docs(spark, *texts))
+    df = cite.by_surname_year(probe, p)
+    want = set()
+    for r in probe.collect():
+        for k, n in enumerate(names):
+            want |= {(r.doc_id, f"p{k}{y}") for y in (1995, 1996) if re.search(f"{re.escape(n)}.{{0,{max(76 - len(n), 0)}}}{y}", r.bib_norm)}
+    assert set(found(df)) == want and len(want) > 400
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, \(+surname#\d+ = surname", plan)  # not on a beginning that all share
+
+
 def test_cascade(spark):
     p = papers(spark, ("a", "a study of many longer words", ["Smith, J."], "1706.03762", None, "2017-01-01", None), ("own", "t", [], None, "10.1234/own", None, None))
     d = docs(spark, "arXiv: 1706.03762 a study of many longer words 10.1234/own").withColumn("own_slug", F.lit("own"))
