@@ -12,6 +12,7 @@ from vaultspark import agents
 from vaultspark.functions.similarity import bag, bag_bound, seq_ratio
 from vaultspark.operators import cite, neardup, upserts
 from vaultspark.plans import catalogue
+from tests.test_queries import expanded
 from vaultspark.streaming import log
 
 PAPERS = "slug string, title string, authors array<string>, arxiv_id string, doi string, publication_date string, source_url string, sort_key string"
@@ -182,6 +183,52 @@ def test_clusters_equal_replay(spark):
     assert {(r.a, r.b) for r in neardup.cluster_links(clusters).collect()} == {(a, b) for g in groups.values() for a in g for b in g if a < b}
 
 
+def test_large_classes_and_bounds_of_similar_texts(spark):
+    """Equal texts are one row each, not pairs; texts of many different characters, short ones and ones of one letter lose no link."""
+    random.seed(12)
+    wide = [chr(0x4E00 + k) for k in range(300)]
+    texts = []
+    for alphabet, n in ((wide, 60), (wide, 260), ("abc ", 199), ("abc ", 200), ("etaoin shrdluxqz", 500), ("a", 300), ("ab", 3), ("e t", 900)):
+        for _ in range(3):
+            base = [random.choice(alphabet) for _ in range(n)]
+            texts.append("".join(base))
+            for changes in (1, n // 30, n // 13, n // 12):
+                t = list(base)
+                for _ in range(changes):
+                    at = random.randrange(len(t))
+                    t[at : at + random.choice((0, 1))] = random.choice(([], ["x"], [random.choice(alphabet)]))
+                texts.append("".join(t))
+    texts += ["one text that many rows share"] * 400
+    rows = [(f"s{k:04d}", t, k % 2 == 0, f"s{k:04d}.md") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "slug string, stmt string, is_new boolean, sort_key string")
+    found = neardup.class_pairs(df).collect()
+    assert len(found) < 2000 and sum(r.kind == "member" for r in found) >= 399
+    few = {t: s for s, t, _, _ in reversed(rows) if t}
+    new = {t for _, t, n, _ in rows if n}
+    want = {(few[t], few[u]): r for t in few if t in new for u in few if t != u and (r := difflib.SequenceMatcher(None, t, u).ratio()) >= 0.92}
+    assert {(r.a, r.b): r.ratio for r in found if r.kind == "link"} == want and len(want) > 40
+    some = df.where("slug < 's0140'")
+    assert {r.slug: r.cluster for r in neardup.similar_clusters(some).collect()} == replayed(rows[:140])
+
+
+def test_exact_ratio_is_the_library_s():
+    random.seed(13)
+    for k in range(600):
+        alphabet = random.choice(["ab", "abcdefgh ", "eeeeeeeettttttttaaaaaaa      oinxqz", "".join(chr(0x4E00 + x) for x in range(200))])
+        b = [random.choice(alphabet) for _ in range(random.choice((0, 3, 60, 199, 200, 450, 1200)))]
+        a = list(b) if k % 4 else [random.choice(alphabet) for _ in range(random.randint(0, 400))]
+        for _ in range(random.randint(0, 1 + len(a) // 12)):
+            at = random.randrange(len(a) + 1)
+            a[at : at + random.choice((0, 1, 9))] = [random.choice(alphabet) for _ in range(random.choice((0, 1, 6)))]
+        a, b = "".join(a), "".join(b)
+        m = difflib.SequenceMatcher(None, a, b)
+        want = m.ratio()
+        if a and b:
+            assert neardup.exact_ratio(a, b, m.b2j, 0) == want
+            got = neardup.exact_ratio(a, b, m.b2j, int(-(-0.92 * (len(a) + len(b)) / 2 // 1)))
+            assert got == want if want >= 0.92 else got is None or got == want
+
+
 def test_pairs_of_whole_texts(spark, tmp_path):
     random.seed(8)
     words = "tide river quiet jazz exact vowel kind fox maze by of the and in zinc quick".split()
@@ -201,8 +248,10 @@ def test_pairs_of_whole_texts(spark, tmp_path):
             ratio = difflib.SequenceMatcher(None, texts[a], t).ratio()
             if a != b and t and texts[a] and ratio >= 0.92:
                 want[f"d{a:012d}", f"d{b:012d}"] = round(ratio, 6)
-    rows = catalogue.queries()["neardup_pairs"](spark, str(tmp_path)).collect()
-    assert {(r.a, r.b): r.ratio for r in rows} == want and len(rows) == len(want) > 8
+    rows = neardup.similar_pairs(catalogue._statements(catalogue.Model(spark, str(tmp_path)))).collect()
+    assert {(r.a, r.b): round(r.ratio, 6) for r in rows} == want and len(rows) == len(want) > 8
+    links = catalogue.queries()["neardup_pairs"](spark, str(tmp_path)).collect()
+    assert expanded(links, {f"d{k:012d}" for k in new}) == want
     assert any(0.92 <= r < 1 for r in want.values()) and want["d000000000026", "d000000000024"] == 1
     cut = {(a, b) for a in new for b, t in enumerate(texts) if a != b and t[:160] == texts[a][:160]}
     assert any((f"d{a:012d}", f"d{b:012d}") not in want for a, b in cut)
