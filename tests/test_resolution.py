@@ -211,6 +211,21 @@ def test_large_classes_and_bounds_of_similar_texts(spark):
     assert {r.slug: r.cluster for r in neardup.similar_clusters(some).collect()} == replayed(rows[:140])
 
 
+def test_bag_pairs_meet_without_a_join_of_rows(spark):
+    random.seed(14)
+    rows = [(f"s{k:03d}", "".join(random.choice("aabc1é ") for _ in range(random.choice((0, 1, 3, 24, 25, 27, 100)))), k % 3 == 0) for k in range(260)]
+    df = neardup.bag_pairs(spark.createDataFrame(rows, "slug string, stmt string, is_new boolean"))
+    want = {}
+    for a, t, new in rows:
+        for b, u, _ in rows:
+            if new and a != b and t and u and min(len(t), len(u)) >= 0.92 / 1.08 * max(len(t), len(u)):
+                bound = 2.0 * sum(min(t.count(c), u.count(c)) for c in "abc1") + 2.0 * min(sum(c in "é " for c in t), sum(c in "é " for c in u))
+                if bound / (len(t) + len(u)) >= 0.92:
+                    want[a, b] = bound / (len(t) + len(u))
+    assert {(r.a, r.b): r.bound for r in df.collect()} == want and len(want) > 100
+    assert "Join Inner" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_exact_ratio_is_the_library_s():
     random.seed(13)
     for k in range(600):
