@@ -92,6 +92,20 @@ def test_cascade(spark):
     assert sorted(r.doc_id for r in cite.cascade(rows, long, gate=False).collect()) == [0, 1]
 
 
+def test_cascade_finds_each_bibliography_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    p = papers(spark, ("a", "a study of many longer words", ["Smith, J."], "1706.03762", "10.1234/a", "2017-01-01", None))
+    d = docs(spark, *["References\n arXiv: 1706.03762 by Smith, printed in 2017"] * 5, "a study of many longer words 10.1234/a").select("doc_id", counted("text").alias("text"))
+    assert sorted((r.doc_id, r.slug, r.rule) for r in cite.cascade(d, p).collect()) == [(k, "a", "arxiv" if k < 5 else "doi") for k in range(6)]
+    assert seen.value == 6
+
+
 def test_fuzzy_titles_of_bibliographies(spark, tmp_path):
     random.seed(9)
     d = [(k, random.choice(["", "a text"])) for k in range(12)]
