@@ -108,8 +108,8 @@ def test_cascade_finds_each_bibliography_once(spark):
 
 def test_fuzzy_titles_of_bibliographies(spark, tmp_path):
     random.seed(9)
-    d = [(k, random.choice(["", "a text"])) for k in range(12)]
-    o = [(k, k * 37 % 90 + 1, random.choice(["1-URGENT", "5-LOW", "4-NOT SPECIFIED"]), "O", datetime.date(1995, 1, 1 + k % 28)) for k in range(1, 41)]
+    d = [(k, random.choice(["", "a text"])) for k in [*range(12), *range(100, 1300, 100)]]
+    o = [(k, k * 37 % 90 + 1, random.choice(["1-URGENT", "5-LOW", "4-NOT SPECIFIED"]), "O", datetime.date(1995, 1, 1 + k % 28)) for k in [*range(1, 41), *range(101, 1301, 100)]]
     spark.createDataFrame(d, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(o, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
     m = catalogue.Model(spark, str(tmp_path))
@@ -121,11 +121,42 @@ def test_fuzzy_titles_of_bibliographies(spark, tmp_path):
             n, b = len(t), r.bib_norm
             if n >= 20 and difflib.SequenceMatcher(None, t, b).quick_ratio() >= 0.5 and any(ratio(t, b[i : i + n + 10]) >= 0.85 for i in range(0, max(1, len(b) - n + 1), max(1, n // 2))):
                 want.add((r.doc_id, slug))
+    assert set(found(cite.by_fuzzy_title(cite.probes(m.cited), m.papers))) == want and want
+    want = {(d, slug) for d, slug in want if d % 100 == 0}  # the query's searches
     assert set(found(catalogue.queries()["cite_fuzzy_title"](spark, str(tmp_path)))) == want and want
     rules = {(r.doc_id, r.slug): r.rule for r in catalogue.queries()["cite_cascade_fuzzy"](spark, str(tmp_path)).collect()}
     assert want <= set(rules) and "fuzzy title" in rules.values()
 
 
+def test_fuzzy_titles_meet_in_blocks(spark, monkeypatch):
+    """Titles and texts of any length and characters, with and without the gate, in several blocks and without a theta join."""
+    random.seed(15)
+    word = lambda: "".join(random.choice("abcdeé1中") for _ in range(random.randint(1, 9)))
+    names = [" ".join(word() for _ in range(random.choice((5, 8, 15, 25, 60)))) for _ in range(30)]
+    names += ["x" * 64, "y" * 65, "ab" * 32, names[0]]
+    texts = [""]
+    for t in names * 2:
+        b = list(t)
+        for _ in range(random.randint(0, len(b) // 8)):
+            at = random.randrange(len(b))
+            b[at : at + random.choice((0, 1))] = random.choice(([], ["z"], [random.choice("abc")]))
+        texts.append(" ".join([word() for _ in range(random.choice((0, 2, 30)))] + ["".join(b)] + [word() for _ in range(random.choice((0, 3)))]).strip())
+    p = spark.createDataFrame([(f"p{k}", t) for k, t in enumerate(names)], "slug string, title string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, bib_norm string")
+    known = [(r.slug, r.title) for r in cite.titles(p).collect()]
+    monkeypatch.setattr(cite, "BLOCK", 20)
+    for gate in (True, False):
+        want = set()
+        for k, b in enumerate(texts):
+            for slug, t in known:
+                n = len(t)
+                if b and (not gate or difflib.SequenceMatcher(None, t, b).quick_ratio() >= 0.5) and any(difflib.SequenceMatcher(None, t, b[i : i + n + 10]).ratio() >= 0.85 for i in range(0, max(1, len(b) - n + 1), max(1, n // 2))):
+                    want.add((k, slug))
+        got = cite.by_fuzzy_title(d, p, gate)
+        assert set(found(got)) == want and len(want) > 25
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_existing(spark):
     p = papers(spark, ("z", "t", [], "1706.03762", None, None, None), ("a", "t", [], None, "10.1/X", None, "https://E.org"))
     r = spark.createDataFrame([(1, "https://q", "1706.03762v5", None), (2, " https://e.org ", None, None), (3, "https://e.org", "1706.03762", None), (4, "https://n", None, "")], "req_id long, source_url string, arxiv_id string, doi string")
