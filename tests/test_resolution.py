@@ -256,6 +256,21 @@ def test_large_classes_and_bounds_of_similar_texts(spark):
     assert {r.slug: r.cluster for r in neardup.similar_clusters(some).collect()} == replayed(rows[:140])
 
 
+def test_stars_take_few_ratios():
+    """Of 60 texts that are all near each other each meets the first, not all others; what is not near it is left for its own star."""
+    texts = {f"s{k:02d}": f"text {k:02d} " + "of many words that all others share, too" for k in range(60)} | {"s98": "x" * 48, "s99": "x" * 47 + "y"}
+    taken = []
+
+    def near(a, b):
+        taken.append((a, b))
+        return neardup.is_similar(texts[a], texts[b])
+
+    of = neardup.stars_of([(a, b) for a in texts for b in texts if a != b], {k: k for k in texts}, near)
+    assert of == {k: "s00" if k < "s98" else "s98" for k in texts} and len(taken) == 62
+    for a, b in (("abcd" * 20, "abcd" * 20 + "xy"), ("abcd" * 20, "abcd" * 15 + "x" * 20), ("e t" * 90, "e t" * 89 + "q")):
+        assert neardup.is_similar(a, b) == (difflib.SequenceMatcher(None, a, b).ratio() >= 0.92)
+
+
 def test_bag_pairs_meet_without_a_join_of_rows(spark):
     random.seed(14)
     rows = [(f"s{k:03d}", "".join(random.choice("aabc1é ") for _ in range(random.choice((0, 1, 3, 24, 25, 27, 100)))), k % 3 == 0) for k in range(260)]
