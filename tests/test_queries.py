@@ -93,6 +93,12 @@ def test_fuzzy_cascade_adds_what_only_fuzzy_titles_find(spark, sf_dir):
     assert all(whole[k] == r for k, r in plain.items() if r in first) and all(k in fuzzy or plain.get(k) == r for k, r in whole.items())
 
 
+def test_cascade_looks_for_fuzzy_titles(spark, sf_dir):
+    rows = {(r.doc_id, r.slug): r.rule for r in rows_of(spark, sf_dir, "cite_cascade")}
+    fuzzy = {(r.doc_id, r.slug) for r in rows_of(spark, sf_dir, "cite_fuzzy_title")}
+    assert fuzzy <= set(rows) and "fuzzy title" in rows.values() and "'fuzzy title'" in SQL["cite_cascade"]
+
+
 def test_page_slices_equal_replay(spark, sf_dir):
     docs = {r.doc_id: (r.pages, r.toc) for r in catalogue._paged(Model(spark, sf_dir)).collect()}
     rows = rows_of(spark, sf_dir, "page_slices")
