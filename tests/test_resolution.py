@@ -157,6 +157,27 @@ def test_fuzzy_titles_meet_in_blocks(spark, monkeypatch):
         assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fuzzy_titles_of_one_letters_meet_few_ratios(monkeypatch):
+    """Of titles that differ in digits only, halves of their counts leave few to common subsequences, and those they leave are all that match."""
+    random.seed(17)
+    title = lambda k: f"order {k} the 5 low case of customer {random.randrange(10**6)}"
+    names = [title(k) for k in random.sample(range(10**7), 3000)]
+    bibs = [f"references 1 arxiv {k * 7 % 10000:04d} 00700v1 doi 10 1234 order {k * 5} {names[k][:-1]}{k % 10} by someone in 1995" for k in range(0, 3000, 60)]
+    seen = []
+    common = cite._common
+    monkeypatch.setattr(cite, "_common", lambda masks, at, sizes, codes: seen.append(len(at)) or common(masks, at, sizes, codes))
+    got = cite._fuzzy_block(names, bibs, 0.5)
+    assert sum(seen) < 0.02 * len(names) * len(bibs)
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = []
+    for d, b in enumerate(bibs[:1]):
+        for k, t in enumerate(names):
+            n = len(t)
+            if any(ratio(t, b[i : i + n + 10]) >= 0.85 for i in range(0, max(1, len(b) - n + 1), n // 2)) and difflib.SequenceMatcher(None, t, b).quick_ratio() >= 0.5:
+                want.append((d, k))
+    assert [x for x in got if x[0] < 1] == want and want
+
+
 def test_existing(spark):
     p = papers(spark, ("z", "t", [], "1706.03762", None, None, None), ("a", "t", [], None, "10.1/X", None, "https://E.org"))
     r = spark.createDataFrame([(1, "https://q", "1706.03762v5", None), (2, " https://e.org ", None, None), (3, "https://e.org", "1706.03762", None), (4, "https://n", None, "")], "req_id long, source_url string, arxiv_id string, doi string")
