@@ -307,6 +307,25 @@ def test_bag_pairs_meet_without_a_join_of_rows(spark):
     assert "Join Inner" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_bag_pairs_of_long_texts_and_numbers_as_keys(spark):
+    """Counts over a byte, several parts of a band, keys of any type."""
+    random.seed(19)
+    rows = []
+    for k in range(120):
+        n = random.choice((40, 250, 256, 280, 600, 640))
+        rows.append((k, "".join(random.choice("aaaab é9" if k % 2 else "aaab é1") for _ in range(n)), k % 3 == 0))
+    rows += [(900, "a" * 700, True), (901, "a" * 690, False), (902, "a" * 700, True)]
+    bags = [(k, len(t), {c: sum((x if x in "ab19" else "") == c for x in t) for c in ("a", "b", "1", "9", "")}, new) for k, t, new in rows]
+    want = {}
+    for a, n, x, new in bags:
+        for b, m, y, _ in bags:
+            bound = 2.0 * sum(min(x[c], y[c]) for c in x) / (n + m)
+            if new and a != b and min(n, m) >= 0.92 / 1.08 * max(n, m) and bound >= 0.92:
+                want[a, b] = bound
+    got = neardup.bag_pairs(spark.createDataFrame(rows, "id long, stmt string, is_new boolean"), key="id")
+    assert {(r.a, r.b): r.bound for r in got.collect()} == want and len(want) > 300 and (900, 901) in want
+
+
 def test_exact_ratio_is_the_library_s():
     random.seed(13)
     for k in range(600):
