@@ -6,6 +6,7 @@ import json
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vaultspark import agents
@@ -344,6 +345,23 @@ def test_exact_ratio_is_the_library_s():
             assert got == want if want >= 0.92 else got is None or got == want
 
 
+def test_long_texts_meet_as_bits_and_take_no_common_subsequence(monkeypatch):
+    random.seed(21)
+    for _ in range(50):
+        x, y = (np.array([random.choice((0, 0, 1, 1, 2, 3, 5, 9, 300)) for _ in range(256)]) for _ in range(2))
+        (bits, over), (theirs, rest) = neardup._planes(x), neardup._planes(y)
+        both = int(np.minimum(x, y).sum())
+        for k in range(neardup.PLANES + 1):
+            seen = sum(int(np.bitwise_count(a & b).sum()) for a, b in zip(bits[:k], theirs[:k]))
+            assert seen + min(over[k], rest[k]) >= both
+    taken = []
+    monkeypatch.setattr(neardup, "may_match", lambda *a: taken.append(a) or True)
+    text = " ".join(random.choice(("tide", "river", "quiet", "jazz", "exact", "vowel")) for _ in range(90))
+    for b in (text, text[:150], text[40:], "".join(random.sample(text, len(text)))):
+        assert neardup.is_similar(text, b) == (difflib.SequenceMatcher(None, text, b).ratio() >= 0.92)
+    assert [len(a[1]) for a in taken] == [150]
+
+
 def test_pairs_of_whole_texts(spark, tmp_path):
     random.seed(8)
     words = "tide river quiet jazz exact vowel kind fox maze by of the and in zinc quick".split()
